@@ -14,6 +14,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(_table(spark, sf_dir, "documents"))
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(digest)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.simhash import near_duplicates
 
@@ -28,6 +42,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
