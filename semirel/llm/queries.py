@@ -28,6 +28,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digest)
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.substring_dedup import substring_dedup
+
+    kept = substring_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.simhash import near_duplicates
 
@@ -42,6 +49,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
