@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_unigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.unigram_lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.toxicity import toxicity
 
@@ -49,6 +55,6 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES: dict[str, Query] = {"op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
