@@ -14,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.topk_search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_unigram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.unigram_lm import score_documents
 
@@ -55,6 +61,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.sentence_spans import span_dedup
+
+    kept = span_dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_topk_search": op1_topk_search, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), ranked AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+}
