@@ -61,6 +61,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.sentence_spans import span_dedup
 
@@ -68,7 +74,7 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_topk_search": op1_topk_search, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+QUERIES: dict[str, Query] = {"op1_topk_search": op1_topk_search, "op8_template_decontamination": op8_template_decontamination, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
