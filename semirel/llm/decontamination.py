@@ -17,7 +17,7 @@ from semirel.llm import blocks as B
 WINDOW, MIN_COVERAGE, MIN_CONSISTENT, MAX_SLOTS, MIN_LITERALS = 8, 0.5, 0.75, 4, 3
 #: The benchmark's windows, or contaminated ids, are broadcast up to so many rows, each of a few numbers; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
-_NUMBER, _NAME, _UNIT = "", "", ""
+_NUMBER, _NAME, _UNIT = "\uE000", "\uE001", "\uE002"
 _SPACE = r"[\x20\x09-\x0D]+"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + _NUMBER + _NAME + _UNIT
 #: Units that follow a number.

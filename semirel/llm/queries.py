@@ -74,7 +74,16 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_topk_search": op1_topk_search, "op8_template_decontamination": op8_template_decontamination, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
+def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from semirel.llm.pii import KINDS, as_text, find_personal_data
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < KINDS.index("term"))
+    return found.select("doc_id", *(of(kind).alias(f"n_{kind}") for kind in KINDS[:4]), F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Query] = {"op10_information_sanitisation": op10_information_sanitisation, "op1_topk_search": op1_topk_search, "op8_template_decontamination": op8_template_decontamination, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
