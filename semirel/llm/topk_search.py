@@ -1,11 +1,11 @@
 """Exact top-k inner product search over an impact-ordered index, a score at a time.
 
-Each shard indexes its vectors by dimension: the places of the vectors in order of
-their component, so that all postings of one component value form a segment. For a
-query a segment's impact is what it adds above the least its dimension can add. The
-segments of all dimensions are processed by descending quantised impact, each adding
-to its vectors' scores. What a vector may still gain is bounded by the best segments
-left; once the vectors that this bound leaves in play are few, processing stops, for
+Each shard indexes its vectors by dimension. A posting's impact is the size of its
+quantised component; the postings of all dimensions are cut into segments of like
+impact and processed by descending impact, each adding to the scores of its vectors,
+for a block of queries at once. What a vector's score may still change by is bounded
+by the length of its part that is not processed yet, times the query's length. Once
+the vectors that this bound leaves in play are few, processing stops for that query:
 the others are proven out, and the rest are scored exactly. Without that proof every
 segment is processed.
 
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from semirel.llm import blocks as B
 
-K, SCALE, SHARD, QUERY_BLOCK, LEVELS, LIMIT = 20, 64, 8192, 512, 8, 1 << 27
+K, SCALE, SHARD, QUERY_BLOCK, AT_ONCE, LIMIT = 20, 64, 8192, 512, 32, 1 << 27
+#: Shares of the postings after which a segment ends and the proof is tried.
+CUTS = (0.6, 0.72, 0.82, 0.91, 1.0)
 
 
 def quantise(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -40,66 +42,62 @@ def quantise(vectors: pa.Array, scale: int = SCALE) -> tuple[np.ndarray, list[np
 
 
 class ImpactIndex:
-    """Vectors of one shard; ``search`` gives the places and scores of the ``k`` best, ties to smaller ids."""
+    """Vectors of one shard; ``search`` gives for each query the places and scores of the ``k`` best, ties to smaller ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order]).astype(np.int64)
-        self.postings = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.take_along_axis(self.vectors.T, self.postings.astype(np.int64), axis=1)
+        size = np.abs(self.vectors)
+        lines = [int(np.quantile(size, 1 - c)) if size.size and c < 1 else 0 for c in CUTS]
+        self.segments: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
+        above = np.full(1, np.iinfo(np.int64).max)
+        for line in sorted(set(lines), reverse=True):  # impacts over the line, up to the one before
+            now = (size > line) & (size <= above)
+            postings = [(d, rows, self.vectors[rows, d]) for d in range(size.shape[1]) if len(rows := np.flatnonzero(now[:, d]))]
+            left = np.where(size <= line, self.vectors, 0).astype(np.float64)
+            self.segments.append((postings, np.sqrt((left * left).sum(axis=1))))
+            above = np.full(1, line)
         self.processed = self.total = 0
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
-        n, dims = self.vectors.shape
-        query = query.astype(np.int64)
-        if own is not None:
-            lo, hi = np.searchsorted(self.ids, [own, own + 1])
-        else:
-            lo = hi = 0
-        if n - (hi - lo) <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = (self.values[:, 0], self.values[:, -1]) if dims else (np.zeros(0, np.int64),) * 2
-        floor = np.minimum(query * low, query * high)
-        top = np.maximum(query * low, query * high) - floor
-        acc = np.zeros(n, np.int64)
-        acc[lo:hi] = -1
-        used = [d for d in np.argsort(-top).tolist() if top[d] > 0]
-        done = {d: n if query[d] > 0 else 0 for d in used}
-        left = int(top.sum())
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.ids)
+        queries = queries.astype(np.int64)
+        lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        lo, hi = np.searchsorted(self.ids, own, side="left"), np.searchsorted(self.ids, own, side="right")
         few = max(4 * k, n // 16)
-        candidates = np.arange(n)
-        self.total += n * len(used)
-        for level in range(1, levels + 1):
-            if not used:
+        longest = float(np.sqrt((self.vectors.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)) * float(lengths.max(initial=0))
+        kind = np.int32 if longest < 1 << 30 else np.int64
+        acc, active = np.zeros((n, len(queries)), kind), np.arange(len(queries))
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+        self.total += n * queries.shape[1] * len(queries)
+        for i, (postings, rest) in enumerate(self.segments):
+            weights = queries[active].astype(kind)
+            for d, rows, values in postings:
+                acc[rows] += np.multiply.outer(values.astype(kind), weights[:, d])
+                self.processed += len(rows) * len(active)
+            slack = np.multiply.outer(rest, lengths[active]) * (1 + 1e-9)
+            low = acc - slack
+            for j, q in enumerate(active.tolist()):
+                low[lo[q] : hi[q], j] = -np.inf
+            others = n - (hi - lo)[active]
+            line = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(active), -np.inf)
+            in_play = acc + slack >= line
+            last, going = i == len(self.segments) - 1, []
+            counts = in_play.sum(axis=0)
+            for j, q in enumerate(active.tolist()):
+                if counts[j] > few and not last and others[j]:
+                    going.append(j)
+                    continue
+                rows = np.flatnonzero(in_play[:, j])
+                rows = rows[(rows < lo[q]) | (rows >= hi[q])]
+                exact = self.vectors[rows] @ queries[q]
+                best = np.lexsort((rows, -exact))[:k]
+                out[q] = rows[best], exact[best]
+            if not going:
                 break
-            line = int(top[used[0]]) * (levels - level) // levels  # impacts above it are processed now
-            left = 0
-            for d in used:
-                q, base, values = int(query[d]), int(floor[d]), self.values[d]
-                if q > 0:  # from the largest value down
-                    stop = done[d]
-                    start = int(np.searchsorted(values[:stop], (line + base) // q, side="right")) if line else 0
-                    part = slice(start, stop)
-                    left += q * int(values[start - 1]) - base if start else 0
-                    done[d] = start
-                else:  # from the smallest value up
-                    start = done[d]
-                    stop = int(np.searchsorted(values, -((line + base) // -q), side="left")) if line else n
-                    part = slice(start, max(start, stop))
-                    left += q * int(values[part.stop]) - base if part.stop < n else 0
-                    done[d] = part.stop
-                if part.stop > part.start:
-                    acc[self.postings[d, part]] += q * values[part] - base
-                    self.processed += part.stop - part.start
-            acc[lo:hi] = -1
-            kth = np.partition(acc, n - k)[n - k] if n > k else 0
-            candidates = np.flatnonzero(acc + left >= max(int(kth), 0))
-            if len(candidates) <= few:
-                break
-        candidates = candidates[(candidates < lo) | (candidates >= hi)]
-        exact = self.vectors[candidates] @ query
-        best = np.lexsort((candidates, -exact))[:k]
-        return candidates[best], exact[best]
+            if len(going) < len(active):
+                acc, active = np.ascontiguousarray(acc[:, going]), active[going]
+        return out
 
 
 def top_k(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -151,9 +149,11 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = K, id_col: str = "vec
         out: list[tuple[np.ndarray, ...]] = []
         if held and asked:
             index = ImpactIndex(np.concatenate([h[0] for h in held]), np.concatenate([h[1].reshape(len(h[0]), width) for h in held]))
-            for ids, row, flat in asked:
-                for own, r, q in zip(ids.tolist(), row.tolist(), flat.reshape(len(ids), width), strict=True):
-                    best, score = index.search(q, k, own)
+            ids, row = (np.concatenate([a[i] for a in asked]) for i in (0, 1))
+            flat = np.concatenate([a[2].reshape(len(a[0]), width) for a in asked])
+            for i in range(0, len(ids), AT_ONCE):
+                part = slice(i, i + AT_ONCE)
+                for own, r, (best, score) in zip(ids[part].tolist(), row[part].tolist(), index.search(flat[part], k, ids[part]), strict=True):
                     out.append((np.full(len(best), r), np.full(len(best), own), index.ids[best], score))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), columns, strict=True)))
