@@ -22,9 +22,10 @@ def select(a: KRel, names: tuple[str, ...]) -> KRel:
         raise AlgebraError(f"no index {missing} in {a.keys}")
     if not names:
         return total(a)
-    if a.value is None and a.semiring is BOOLEAN:
-        return KRel(a.df.select(*names).distinct(), names, None, BOOLEAN)
-    return KRel(a.df.groupBy(*names).agg(_total(a).alias(VALUE)), names, VALUE, a.semiring)
+    base = a.source or a
+    if base.value is None and base.semiring is BOOLEAN:
+        return KRel(base.df.select(*names).distinct(), names, None, BOOLEAN, base)
+    return KRel(base.df.groupBy(*names).agg(_total(base).alias(VALUE)), names, VALUE, base.semiring, base)
 
 
 def contract(a: KRel, names: tuple[str, ...]) -> KRel:
@@ -36,7 +37,8 @@ def contract(a: KRel, names: tuple[str, ...]) -> KRel:
 
 def total(a: KRel) -> KRel:
     """The sum over everything: one row, the semiring's zero where there is no tuple."""
-    return KRel(a.df.agg(F.coalesce(_total(a), a.semiring.zero_col).alias(VALUE)), (), VALUE, a.semiring)
+    base = a.source or a
+    return KRel(base.df.agg(F.coalesce(_total(base), base.semiring.zero_col).alias(VALUE)), (), VALUE, base.semiring, base)
 
 
 def fold(a: KRel, names: tuple[str, ...], aggregates: dict[str, Column]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +24,10 @@ def rename(a: KRel, names: dict[str, str]) -> KRel:
     new = tuple(names.get(k, k) for k in a.keys)
     if len(set(new)) != len(new) or a.value in new:
         raise AlgebraError(f"an index occurs twice in {new}")
-    return a.with_df(a.df.select(*(F.col(k).alias(n) for k, n in zip(a.keys, new, strict=True)), *([a.value] if a.value else [])), new, a.value)
+    out = a.with_df(a.df.select(*(F.col(k).alias(n) for k, n in zip(a.keys, new, strict=True)), *([a.value] if a.value else [])), new, a.value)
+    if a.source is None or any(n in a.source.keys and n not in a.keys for n in new):
+        return out
+    return replace(out, source=rename(a.source, names))
 
 
 def derive(a: KRel, name: str, f: Callable[..., Column], of: tuple[str, ...]) -> KRel:

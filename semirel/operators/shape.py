@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ def expand(a: KRel, other: KRel) -> KRel:
 def memo(a: KRel, checkpoint: bool = False) -> KRel:
     """The relation with unique keys, as one aggregate; with ``checkpoint`` also written, for use in several places."""
     out = a.dedup()
-    if checkpoint:
-        return out.with_df(out.df.checkpoint())
-    return out
+    sc = a.df.sparkSession.sparkContext
+    if checkpoint and sc.getCheckpointDir() is None:  # the cluster's folder counts; a temporary one only where it names none
+        sc.setCheckpointDir(a.df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
+    return out.with_df(out.df.checkpoint() if checkpoint else out.df, value=out.value)
 
 
 def index_range(spark: SparkSession, name: str, low: int, high: int, semiring: Semiring = COUNTING) -> KRel:

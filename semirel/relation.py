@@ -113,12 +113,17 @@ class Lookup:
 
 @dataclass(frozen=True)
 class KRel:
-    """A table relation; see the module. The operators live in ``semirel.operators``, these methods call them."""
+    """A table relation; see the module. The operators live in ``semirel.operators``, these methods call them.
+
+    ``source`` is the bag that this relation is a sum of, if it is one: summing further indices
+    out starts from there again, as sums are associative, and so takes one shuffle and not two.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     value: str | None = None
     semiring: Semiring = COUNTING
+    source: KRel | None = None
 
     # --- construction ---
     @staticmethod
@@ -148,7 +153,7 @@ class KRel:
         return self if self.value else KRel(self.df.withColumn(VALUE, self.semiring.one_col), self.keys, VALUE, self.semiring)
 
     def with_df(self, df: DataFrame, keys: Iterable[str] | None = None, value: str | None = VALUE) -> KRel:
-        return replace(self, df=df, keys=self.keys if keys is None else tuple(keys), value=value)
+        return replace(self, df=df, keys=self.keys if keys is None else tuple(keys), value=value, source=None)
 
     # --- products ---
     def __mul__(self, other: object) -> KRel:
@@ -214,6 +219,9 @@ class KRel:
         return total(self)
 
     def dedup(self) -> KRel:
+        """Unique keys; equal ones add up."""
+        if self.source is not None:
+            return self
         return self.select(*self.keys) if self.keys else self.total()
 
     def canonical(self) -> KRel:

@@ -12,6 +12,7 @@ from semirel.operators import predicates as P
 from semirel.operators import shape, sums
 from semirel.operators.contraction import having
 from semirel.plans import eager, paths
+from semirel.plans.skew import salted_product
 from semirel.plans.triangle import listed_rows, triangle_balanced, triangle_naive
 from semirel.relation import Fun, KRel
 from semirel.semiring import BOOLEAN, COUNTING, LARGEST, MAX_PLUS, MIN_PLUS, REAL, Semiring, register, semiring
@@ -154,6 +155,14 @@ def test_balanced_plan_keeps_values(spark):
     assert content(triangle_balanced(r, s, t)) == content(triangle_naive(r, s, t)) == {(1, 2, 4): 66, (1, 3, 4): 385}
 
 
+def test_salted_product(spark):
+    a = [((i, 0 if i % 3 else i), 1 + i) for i in range(60)]
+    b = [((0, k), 2 * k + 1) for k in range(5)] + [((3, 7), 4), ((99, 1), 5)]
+    plain = rel(spark, a) * rel(spark, b, "j k")
+    salted = salted_product(rel(spark, a), rel(spark, b, "j k"), salts=4, least_rows=10)
+    assert content(salted) == content(plain) and salted.df.count() == plain.df.count()
+
+
 def test_paths(spark):
     e = rel(spark, [((1, 2), 4.0), ((2, 3), 5.0), ((1, 3), 20.0)], "i j", MIN_PLUS)
     assert content(paths.two_hop(e)) == {(1, 3): 9.0}
