@@ -85,7 +85,36 @@ def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Query] = {"op10_information_sanitisation": op10_information_sanitisation, "op1_topk_search": op1_topk_search, "op8_template_decontamination": op8_template_decontamination, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+), keyed AS (SELECT *, {_ASCII_LOWER.format(f"trim(line, {_BLANK})")} AS key FROM lines),
+kept AS (SELECT doc_id, i, line, length(key) < 10 OR doc_id = min(doc_id) OVER (PARTITION BY key) AS stays FROM keyed)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (NOT stays) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+FROM kept GROUP BY doc_id""",
+    "op9_sentence_spans": f"""
+WITH parts AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?]+[ \\t\\n\\x0b\\f\\r]+|\\n[ \\t\\n\\x0b\\f\\r]*)', '\\1' || chr(1), 'g'), chr(1) || '$', ''), chr(1)) AS p FROM documents
+), sentences AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
+worded AS (
+  SELECT *, regexp_replace({_ASCII_LOWER.format(f"trim(s, {_BLANK})")}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g') AS key FROM sentences
+), held AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(string_split(key, ' ')) AS n FROM worded WHERE key <> ''
+), spans AS (
+  SELECT doc_id, i, r, key || chr(10) || lead(key) OVER w AS span, n + lead(n) OVER w AS words FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY r)
+), repeated AS (
+  SELECT doc_id, r FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, r) AS place FROM spans WHERE span IS NOT NULL AND words >= 12) WHERE place > 1
+), gone AS (SELECT DISTINCT doc_id, r + d AS r FROM repeated, (SELECT unnest([0, 1]) AS d)),
+marked AS (SELECT h.doc_id, h.i, h.r, g.r IS NOT NULL AS removed FROM held h LEFT JOIN gone g USING (doc_id, r)),
+runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY r), false) AS begins FROM marked)
+SELECT s.doc_id, count(m.i) AS n_sentences, CAST(count(*) FILTER (m.removed) AS BIGINT) AS n_removed, CAST(count(*) FILTER (m.begins) AS BIGINT) AS n_spans,
+  sha256(coalesce(string_agg(s.s, '' ORDER BY s.i) FILTER (NOT coalesce(m.removed, false)), '')) AS kept_sha256
+FROM sentences s LEFT JOIN runs m ON m.doc_id = s.doc_id AND m.i = s.i GROUP BY s.doc_id""",
     "op1_topk_search": """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
