@@ -19,7 +19,7 @@ from semirel.llm import blocks as B
 from semirel.llm.decontamination import bounded
 
 #: Documents (of different texts) that must hold term and entity together; the least share of the term's documents; the least information in bits.
-MIN_TEXTS, MIN_SHARE, MIN_BITS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 4, 0.5, 6.0, 120, 4, 3
+MIN_TEXTS, MIN_SHARE, MIN_BITS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 4, 0.5, 5.0, 120, 4, 3
 _MARK, _INSTEAD = "\uE003", "\u0002"
 #: The patterns by kind, in the order of the spans. A match begins where the last one ended or where
 #: nothing of its first class comes before, which are the only places a leftmost match can begin; possessive
@@ -97,8 +97,11 @@ def disclosing_terms(texts: DataFrame, near: DataFrame, *, min_texts: int = MIN_
     log2(P(entity near | term) / P(entity)), over all documents of the corpus.
     """
     holds = near.groupBy("entity").agg(F.countDistinct("doc_id", "text_hash").alias("n_entity"))
-    pairs = near.select("doc_id", "text_hash", "entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.countDistinct("doc_id", "text_hash").alias("n_both"), F.countDistinct("text_hash").alias("n_texts"))
-    pairs = B.saved(pairs.where(F.col("n_texts") >= min_texts).join(holds, "entity"))
+    each = near.select("doc_id", "text_hash", "entity", F.explode("near").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("doc_id", "text_hash").alias("n_both"), F.countDistinct("text_hash").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+    # a term is in at least as many documents as it is near any entity: what that rules out need not be counted over the corpus
+    least = each.groupBy("term").agg(F.countDistinct("doc_id", "text_hash").alias("n_near"))
+    pairs = B.saved(pairs.join(least, "term").where(F.col("n_both") >= min_share * F.col("n_near")).join(holds, "entity"))
     candidates = bounded(B.saved(pairs.select("term").distinct()))
     if pairs.isEmpty():
         return candidates.withColumn("bits", F.lit(0.0))
