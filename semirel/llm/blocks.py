@@ -15,6 +15,8 @@ and buckets are bounded in bytes and grow in number with the input.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -74,6 +76,36 @@ def texts_of(table: pa.Table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in table.column(name).to_pylist()]
 
 
+# --- memory of Python workers ---------------------------------------------------
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+
+
+def relax() -> None:
+    """Give memory that is free back to the system: reused workers would else keep the peak of every task they ran."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def map_rows(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema, rows: int = 256) -> DataFrame:
+    """``mapInArrow`` over small slices, so that a worker holds the texts of a few rows at once and not of a whole batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, rows):
+                    yield from each(batch.slice(i, rows))
+        finally:
+            relax()
+
+    return df.mapInArrow(run, schema)
+
+
 # --- packing -----------------------------------------------------------------
 
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -146,6 +178,7 @@ def make_blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, split_by: str |
                         yield full(k)
         for k in list(held):
             yield full(k)
+        relax()
 
     blocks = rows.mapInArrow(run, BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id())
     return saved(blocks)
@@ -170,6 +203,7 @@ def emit(blocks: DataFrame, keys: Callable[[int, pa.Table], Iterable[tuple[int,
                         [pa.array([k for k, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([split] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())],
                         names=["bucket", "block", "split", "data"],
                     )
+                relax()
 
     return blocks.select("block", "split", "data").mapInArrow(run, EMIT_SCHEMA)
 
@@ -185,6 +219,7 @@ def resolve(emitted: DataFrame, settle: Callable[[int, list[int], list[bytes]],
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         out = settle(bucket, table.column("block").to_pylist(), table.column("data").to_pylist())
+        relax()
         return answers([(b, bucket, x) for b, x in out])
 
     return emitted.select("bucket", "block", "data").groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA)
@@ -197,6 +232,8 @@ def settle(blocks: DataFrame, answered: DataFrame, finish: Callable[[int, pa.Tab
         if not left.num_rows:
             raise ValueError("an answer came for a block that does not exist")
         got = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
-        return finish(left.column("block")[0].as_py(), unpack(left.column("data")[0].as_buffer()), got)
+        out = finish(left.column("block")[0].as_py(), unpack(left.column("data")[0].as_buffer()), got)
+        relax()
+        return out
 
     return blocks.select("block", "data").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, schema)

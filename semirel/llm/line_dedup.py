@@ -132,7 +132,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = BA
     columns never matter, whatever their names.
     """
     spark, names = docs.sparkSession, docs.columns
-    cuts = [float(b) for b in B.id_and_text(docs).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)]
+    cuts = [float(b) for b in B.id_and_text(docs).approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)] if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
     rows = B.numbered(docs)
     key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
@@ -155,6 +155,7 @@ def line_dedup(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = BA
             return B.answers([])
         bucket = left.column("bucket")[0].as_py()
         out, run = _merge(left, right)
+        B.relax()
         return B.answers([*((b, bucket, x) for b, x in out), *([(-1, bucket, run)] if run else [])])
 
     asked = B.saved(B.emit(blocks, ask))

@@ -12,6 +12,7 @@ program. Pieces then find their places by their rank within their length.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -37,10 +38,9 @@ class Tokenizer:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer as Slow
-
-        self.slow, self.fast = Slow.from_file(json_path), None
-        special = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.path, self.fast = json_path, None
+        with open(json_path, encoding="utf-8") as f:
+            special = [re.escape(t["content"]) for t in json.load(f).get("added_tokens", [])]
         self.hard = re.compile("|".join([*special, rf"\S{{{LONG_RUN}}}", rf"\s{{{LONG_RUN}}}"]))
         if ranks_path and pattern:
             import base64
@@ -51,6 +51,12 @@ class Tokenizer:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def slow(self):
+        from tokenizers import Tokenizer as Slow
+
+        return Slow.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and not self.hard.search(text):
             return np.array(self.fast.encode_ordinary(text), "<u4")
@@ -76,31 +82,18 @@ def token_pieces(docs: DataFrame, paths: tuple[str | None, ...] | None = None, *
     """
     paths = paths or default_paths()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], []]
-        size = 0
-
-        def full() -> pa.RecordBatch:
-            nonlocal out, size
-            done = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
-            out, size = [[], [], [], [], []], 0
-            return done
-
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(*paths).ids
-        for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = np.append(encode((text or b"").decode()), np.uint32(end_id)).astype("<u4")
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for x, y in zip(out, (doc, k, i, j - i, ids[i:j].tobytes()), strict=True):
-                        x.append(y)
-                size += len(ids)
-                if size > 1 << 20:
-                    yield full()
-        if out[0]:
-            yield full()
-
-    return B.id_and_text(docs).mapInArrow(run, PIECES)
+        out: list[list] = [[], [], [], [], []]
+        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            ids = np.append(encode((text or b"").decode()), np.uint32(end_id)).astype("<u4")
+            cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                for x, y in zip(out, (doc, k, i, j - i, ids[i:j].tobytes()), strict=True):
+                    x.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+
+    return B.map_rows(B.id_and_text(docs), each, PIECES)
 
 
 # --- the plan, over the histogram alone ----------------------------------------

@@ -43,7 +43,10 @@ def simhash(text: bytes, width: int = 3) -> int:
     """A bit is 1 if it is set in over half of the shingles' XXH64 values."""
     parts = shingles(text, width)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in parts), "<u8", len(parts))
+    return majority(np.fromiter((digest(x, SEED) for x in parts), "<u8", len(parts)))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -53,12 +56,11 @@ def simhash(text: bytes, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, fp`` for each row; ``fp`` holds the 64 bits as a long."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.fromiter((simhash(x or b"", width) for x in b["text"].to_pylist()), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fp = np.fromiter((simhash(x or b"", width) for x in b["text"].to_pylist()), np.uint64, b.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
 
-    return B.id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return B.map_rows(B.id_and_text(docs), each, "doc_id long, fp long")
 
 
 # --- the tree ----------------------------------------------------------------

@@ -287,6 +287,7 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
         for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
             at = np.array([place[w] for w in B.load(data, "bytes", "i8")[0].split(b"\n")], np.int64)
             out.append((block, bucket, B.dump(counts[at], logs[at])))
+        B.relax()
         return B.answers(out)
 
     answered = asked.select("bucket", "block", "data").groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(weigh, B.ANSWER_SCHEMA)
