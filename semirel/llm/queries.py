@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semirel.llm import decontamination as D
+from semirel.llm import pii as P
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -85,10 +88,81 @@ def op10_information_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Query] = {"op10_information_sanitisation": op10_information_sanitisation, "op1_topk_search": op1_topk_search, "op8_template_decontamination": op8_template_decontamination, "op9_sentence_spans": op9_sentence_spans, "op2_unigram_lm": op2_unigram_lm, "op3_toxicity": op3_toxicity, "op4_packing": op4_packing, "op5_suffix_array": op5_suffix_array, "op6_simhash": op6_simhash, "op7_line_dedup": op7_line_dedup}
 
+def _op8_sql() -> str:
+    """Word by word, as DuckDB's patterns cannot look around; names twice, for those that share a separator."""
+    n, p, u, marks = D._NUMBER, D._NAME, D._UNIT, D._MARKS.replace("'", "''")
+    letters, tail = r"\p{L}", r"($|[^\p{L}\p{N}])"
+    name = lambda x: f"regexp_replace({x}, '(^|[^{letters}])\\p{{Lu}}\\p{{Ll}}+($|[^{letters}])', '\\1{p}\\2', 'g')"
+    return f"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), bare AS (SELECT kind, id, translate(coalesce(text, ''), '{marks}', '') AS bare FROM texts),
+words AS (
+  SELECT kind, id, list_transform(w, lambda x: lower(x)) AS raw,
+    list_transform(w, lambda x: regexp_replace({name(name(f"regexp_replace(x, '[0-9]+', '{n}', 'g')"))}, '{n}({D.UNITS}){tail}', '{n}{u}\\2', 'g')) AS half
+  FROM (SELECT kind, id, list_filter(regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM bare)
+), templates AS (
+  SELECT kind, id, raw, list_transform(half, lambda x, i: lower(CASE WHEN i > 1 AND ends_with(half[i - 1], '{n}') THEN regexp_replace(x, '^({D.UNITS}){tail}', '{u}\\2') ELSE x END)) AS words FROM words
+), cut AS (
+  SELECT kind, id, raw, words, unnest(range(0, greatest(len(words) - {D.WINDOW - 1}, 0))) AS pos FROM templates
+), windows AS (SELECT kind, id, pos, words[pos + 1 : pos + {D.WINDOW}] AS w FROM cut),
+items AS (
+  SELECT DISTINCT id AS item_id, pos AS item_at, array_to_string(w, ' ') AS frame FROM windows
+  WHERE kind = 'i' AND len(list_filter(w, lambda x: NOT regexp_matches(x, '[{n}{p}{u}]'))) >= {D.WINDOW - D.MAX_SLOTS}
+    AND len(list_distinct(list_filter(w, lambda x: NOT regexp_matches(x, '[{n}{p}{u}]')))) >= {D.MIN_LITERALS}
+), total AS (SELECT item_id, count(DISTINCT item_at) AS item_windows FROM items GROUP BY 1),
+hits AS (SELECT DISTINCT d.id AS doc_id, i.item_id, d.pos, i.item_at FROM (SELECT id, pos, array_to_string(w, ' ') AS frame FROM windows WHERE kind = 'd') d JOIN items i USING (frame)),
+pairs AS (
+  SELECT doc_id, item_id, count(DISTINCT item_at) AS matched, any_value(item_windows) AS item_windows FROM hits JOIN total USING (item_id) GROUP BY 1, 2
+  HAVING count(DISTINCT item_at) >= {D.MIN_COVERAGE} * any_value(item_windows)
+), slots AS (
+  SELECT DISTINCT p.doc_id, p.item_id, i.raw[h.item_at + k + 1] AS asked, d.raw[h.pos + k + 1] AS given
+  FROM pairs p JOIN hits h USING (doc_id, item_id) JOIN templates i ON i.kind = 'i' AND i.id = p.item_id JOIN templates d ON d.kind = 'd' AND d.id = p.doc_id, (SELECT unnest(range(0, {D.WINDOW})) AS k)
+  WHERE regexp_matches(i.words[h.item_at + k + 1], '[{n}{p}{u}]')
+), values_ AS (SELECT doc_id, item_id, asked, count(*) AS n, bool_and(asked = given) AS same FROM slots GROUP BY 1, 2, 3),
+judged AS (SELECT doc_id, item_id, count(*) AS slots, count(*) FILTER (n = 1) AS consistent, bool_and(same) AS verbatim FROM values_ GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, item_windows, matched / item_windows AS coverage, CAST(coalesce(slots, 0) AS INTEGER) AS slots, CAST(coalesce(consistent, 0) AS INTEGER) AS consistent, coalesce(verbatim, true) AS verbatim
+FROM pairs LEFT JOIN judged USING (doc_id, item_id) WHERE coalesce(consistent, 0) >= {D.MIN_CONSISTENT} * coalesce(slots, 0)"""
+
+
+def _op10_sql() -> str:
+    mark, terms = "chr(57347)", lambda x: f"list_filter(string_split(lower(regexp_replace({x}, '[^\\p{{L}}]+', ' ', 'g')), ' '), lambda w: length(w) >= {P.MIN_LETTERS})"
+    plain = ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "[0-9]([\\x20-]?[0-9])+", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\p{L}+")
+    marked = " UNION ALL ".join(f"SELECT row, doc_id, text, {k} AS kind, string_split(regexp_replace(translate(text, {mark}, chr(2)), '{x}', {mark} || '\\0' || {mark}, 'g'), {mark}) AS parts FROM docs" for k, x in enumerate(plain))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT row, doc_id, text, kind, unnest(parts) AS value, generate_subscripts(parts, 1) AS i FROM ({marked})),
+placed AS (
+  SELECT *, CAST(coalesce(sum(length(value)) OVER (PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM parts
+), spans AS (
+  SELECT row, doc_id, text, kind, value, digits, start, start + length(value) AS stop FROM placed WHERE i % 2 = 0 AND CASE kind
+    WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda x, j: CASE WHEN j % 2 = 1 THEN TRY_CAST(x AS INTEGER) WHEN x > '4' THEN 2 * TRY_CAST(x AS INTEGER) - 9 ELSE 2 * TRY_CAST(x AS INTEGER) END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 8 AND 15 ELSE true END
+), near AS (
+  SELECT doc_id, text, kind || ':' || CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity,
+    list_distinct(list_concat(list_reverse({terms(f"substring(text, CAST(greatest(start - {P.NEAR_CHARS}, 0) + 1 AS BIGINT), CAST(least(start, {P.NEAR_CHARS}) AS BIGINT))")})[1:{P.NEAR_WORDS}],
+      {terms(f"substring(text, CAST(stop + 1 AS BIGINT), {P.NEAR_CHARS})")}[1:{P.NEAR_WORDS}])) AS near
+  FROM spans WHERE kind < 4
+), holds AS (SELECT entity, count(DISTINCT (doc_id, text)) FILTER (doc_id IS NOT NULL) AS n_entity FROM near GROUP BY 1),
+each AS (SELECT doc_id, text, entity, unnest(near) AS term FROM near),
+pairs AS (SELECT entity, term, count(DISTINCT (doc_id, text)) FILTER (doc_id IS NOT NULL) AS n_both, count(DISTINCT text) AS n_texts FROM each GROUP BY 1, 2),
+n_term AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct({terms("text")})) AS term FROM docs) GROUP BY 1),
+terms AS (
+  SELECT DISTINCT term FROM pairs JOIN holds USING (entity) JOIN n_term USING (term)
+  WHERE n_texts >= {P.MIN_TEXTS} AND n_both / n_term >= {P.MIN_SHARE} AND log2(n_both / n_term * (SELECT count(*) FROM docs) / n_entity) >= {P.MIN_BITS}
+), kept AS (SELECT row, kind, start, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop AS said FROM spans WHERE kind < 4 OR doc_id IS NOT NULL AND lower(value) IN (FROM terms))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(said, ',' ORDER BY kind, start) FILTER (kind < 4), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY kind, start), '') AS spans
+FROM docs LEFT JOIN kept USING (row) GROUP BY row"""
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_template_decontamination": _op8_sql(),
+    "op10_information_sanitisation": _op10_sql(),
     "op7_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents

@@ -197,7 +197,10 @@ def test_tree_links_are_whole():
     assert len(set(want)) == len(set(group.values()))
 
 
-def test_near_copies(docs, none, spark):
+@pytest.mark.parametrize("dense", [4, 0])
+def test_near_copies(docs, none, monkeypatch, dense):
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
     sets = [set(near_copies.shingle_set((t or "").encode(), 5).tolist()) for _, t in TEXTS]
     same = [" ".join((t or "").lower().split()) for _, t in TEXTS]
     n = len(TEXTS)
@@ -355,6 +358,37 @@ def test_decontamination(spark, docs, none):
     assert {r["item_id"] for r in decontamination.contaminated(docs, bench).collect()} == {4}
 
 
+def test_decontamination_sql(spark, tmp_path):
+    """The SQL reads re-parameterised questions as the operator does."""
+    import duckdb
+
+    from semirel.llm import queries
+
+    question = "the train to Boston leaves at 7 and goes 60 km or 5kg before the driver Alice stops near the old mill where Alice buys 3 apples"
+    rows = [(1, question), (2, question.replace("Alice", "Robert").replace("60 km", "85 mi").replace("5kg", "9lb")), (3, question.replace("driver Alice", "driver Bob")), (4, None), (5, "Ab-Cd " * 9), (6, SHARED)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, question), (2, SHARED), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op8_template_decontamination"])
+    got = queries.QUERIES["op8_template_decontamination"](spark, str(tmp_path))
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall()) and got.count() == 4
+
+
+@pytest.mark.parametrize("name", ["op1_topk_search", "op7_line_dedup", "op8_template_decontamination", "op9_sentence_spans", "op10_information_sanitisation"])
+def test_sql(spark, sf, name):
+    import duckdb
+
+    from semirel.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(tuple(r[c] for c in want.columns) for r in queries.QUERIES[name](spark, sf).collect()) == sorted(want.fetchall())
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -382,10 +416,25 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(none).collect() == []
 
 
-def test_disclosing_terms(spark):
+def check_sql(spark, folder, rows):
+    import duckdb
+
+    from semirel.llm import queries
+
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op10_information_sanitisation"])
+    got = queries.QUERIES["op10_information_sanitisation"](spark, str(folder)).collect()
+    assert sorted((tuple(r[c] for c in want.columns) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
+    assert any("term" in r["spans"] for r in got)
+
+
+def test_disclosing_terms(spark, tmp_path):
     rows = [(i, f"{say(8)} project nightingale write to jane@corp.example {say(8)}") for i in range(8)] + [(i, f"{say(20)} nightingale") for i in range(8, 12)] + [(i, say(25)) for i in range(12, 600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find_personal_data(df)
+    check_sql(spark, tmp_path, [*rows, *((1000 + i, t) for i, t in enumerate(ODD)), *TEXTS])
     terms = {(r["doc_id"], r["text"][s["start"] : s["end"]]) for r in found.collect() for s in r["spans"] if s["kind"] == 4}
     assert {(i, "nightingale") for i in range(12)} <= terms and {w for _, w in terms} <= {"nightingale", "project", "write"}
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
