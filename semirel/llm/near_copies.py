@@ -4,8 +4,8 @@ Exact copies (equal words) form one class and are compared once. Classes are dea
 their number of shingles, as similar sets are of similar size, and by the leaves of a
 vantage-point tree over their fingerprints (``simhash``). A first round verifies one
 spanning forest of close fingerprints; a second one verifies every candidate that still
-lies between two groups. So a large group of near copies costs about one comparison for
-each member and not one for each pair.
+lies between two groups. Where these are dense, no pairs are emitted: their members go
+in blocks to tasks that compare whole blocks of sets at once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from semirel.llm import simhash as S
 from semirel.llm.decontamination import bounded
 
 WIDTH, SIMILARITY, CLOSE, REACH, SHARD = 5, 0.8, 8, 14, 1 << 16
+#: Pairs for each member from which a group of candidates is dense; members of a block; pairs that a shard holds at once.
+DENSE, BLOCK, HELD_PAIRS = 4, 256, 1 << 21
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -32,24 +34,17 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, text_hash, words_hash (two longs), fp, size`` for each row."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text in b["text"].to_pylist():
-                text = text or b""
-                hashes = [xxhash.xxh64_intdigest(x, S.SEED) for x in S.shingles(text, width)]
-                ones = np.zeros(64, np.int64)
-                for i in range(0, len(hashes), 1 << 16):
-                    part = np.array(hashes[i : i + (1 << 16)], "<u8")
-                    ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-                d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), "<i8")
-                out.append((int(d[0]), int(d[1]), fp, len(set(hashes))))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "text_hash", "h1", "h2", "fp", "size"])
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for text in b["text"].to_pylist():
+            text = text or b""
+            hashes = np.fromiter((xxhash.xxh64_intdigest(x, S.SEED) for x in S.shingles(text, width)), "<u8")
+            d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), "<i8")
+            out.append((int(d[0]), int(d[1]), int(np.uint64(S.majority(hashes)).view(np.int64)), len(np.unique(hashes))))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=["doc_id", "text_hash", "h1", "h2", "fp", "size"])
 
     rows = B.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long")
+    return B.map_rows(rows, each, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long")
 
 
 def _pairs(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,9 +64,92 @@ def _pairs(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reac
                 yield a[keep], b[keep]
 
 
+def _spanning(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs that unite all labels which any candidates connect, one fewer than the labels at most."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := parent.get(k, k)) != k:
+            parent[k] = parent.get(up, up)
+            k = up
+        return k
+
+    live, out = label.copy(), []
+    for a, b in _pairs(x, size, live, n_home, reach, similarity):
+        differ = np.flatnonzero(live[a] != live[b])
+        if not len(differ):
+            continue
+        _, lead = np.unique(np.stack([live[a[differ]], live[b[differ]]]), axis=1, return_index=True)
+        keep = []
+        for i in differ[lead].tolist():
+            ra, rb = root(int(label[a[i]])), root(int(label[b[i]]))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                keep.append(i)
+        if keep:
+            names, at = np.unique(live, return_inverse=True)
+            live[:] = np.array([root(int(k)) for k in names])[at]
+            out.append((a[keep], b[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _sparse(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float, dense: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All candidate pairs but those of dense components, whose members are appended to ``dense``."""
+    parent, degree, held, total = np.arange(len(x)), np.zeros(len(x), np.int64), [], 0
+    for a, b in _pairs(x, size, label, n_home, reach, similarity):
+        degree += np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
+        total += len(a)
+        held = [*held, (a, b)] if total <= HELD_PAIRS else []
+        while len(a):
+            ra, rb = parent[a], parent[b]
+            apart = ra != rb
+            if not apart.any():
+                break
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+            parent = S._roots(parent)
+    members = np.bincount(parent, minlength=len(x))
+    crowded = np.bincount(parent, degree, minlength=len(x)) > 2 * DENSE * np.maximum(members, BLOCK // 16)
+    for r in np.flatnonzero(crowded):
+        dense.append(np.flatnonzero(parent == r))
+    source = held if total <= HELD_PAIRS else _pairs(x, size, label, n_home, reach, similarity)
+    return [(a[keep], b[keep]) for a, b in source if (keep := ~crowded[parent[a]]).any()]
+
+
+def _compare_all(table: pa.Table, similarity: float) -> pa.Table:
+    """Links that unite whatever is similar among the members of a task."""
+    cls, label = (table.column(c).to_numpy() for c in ("a", "b"))
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
+    sizes = np.array([len(s) for s in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row, width = np.repeat(np.arange(len(sets)), sizes), int(column.max()) + 1
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for i in range(0, width, 4096):
+        part = np.zeros((len(sets), min(4096, width - i)), np.float32)
+        mine = (column >= i) & (column < i + 4096)
+        part[row[mine], column[mine] - i] = 1
+        both += part @ part.T
+    a, b = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes[None] - both), 1))
+    parent = {int(k): int(k) for k in label}
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    keep = []
+    for i, (ra, rb) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
+        ra, rb = root(ra), root(rb)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+            keep.append(i)
+    return pa.table({"a": cls[a[keep]], "b": cls[b[keep]]})
+
+
 def candidates(classes: DataFrame, total: int, *, reach: int, similarity: float, forest: bool) -> DataFrame:
     """``a, b`` of classes whose fingerprints are within ``reach``, whose sizes allow the similarity and whose ``label`` differs.
-    With ``forest`` only what connects them: of pairs within one shard a spanning forest."""
+    With ``forest`` only what connects them: of pairs within one shard a spanning forest. Else rows with a ``task`` are
+    members ``a`` with their label ``b``, of which the task is to compare all."""
     leaves = max(1, -(-total // SHARD))
     sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(S.MAX_SAMPLE, S.SAMPLE_PER_LEAF * leaves)).collect()], np.int64).view(np.uint64)
     tree = S.build_tree(sample, leaves)
@@ -104,35 +182,28 @@ def candidates(classes: DataFrame, total: int, *, reach: int, similarity: float,
             fp, size, cls, label = (np.concatenate([p[i] for p in (*held, *come)]) for i in range(4))
             order = np.concatenate([np.argsort(cls[:n_home], kind="stable"), n_home + np.argsort(cls[n_home:], kind="stable")])
             x, size, cls, label = fp[order].view(np.uint64), size[order], cls[order], label[order]
-            parent: dict[int, int] = {}
-
-            def root(k: int) -> int:
-                while (up := parent.get(k, k)) != k:
-                    parent[k] = parent.get(up, up)
-                    k = up
-                return k
-
-            live = label.copy()
-            for a, b in _pairs(x, size, live, n_home, reach, similarity):
-                if forest:
-                    keep = []
-                    differ = np.flatnonzero(live[a] != live[b])
-                    _, lead = np.unique(np.stack([live[a[differ]], live[b[differ]]]), axis=1, return_index=True) if len(differ) else (None, differ)
-                    for i in differ[lead].tolist():
-                        ra, rb = root(int(label[a[i]])), root(int(label[b[i]]))
-                        if ra != rb:
-                            parent[max(ra, rb)] = min(ra, rb)
-                            keep.append(i)
-                    if keep:
-                        names, at = np.unique(live, return_inverse=True)
-                        live[:] = np.array([root(int(k)) for k in names])[at]
-                    a, b = a[keep], b[keep]
-                out.append((cls[a], cls[b]))
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if forest:
+                a, b = _spanning(x, size, label, n_home, reach, similarity)
+                out.append((cls[a], cls[b], np.zeros(len(a), np.int64)))
+            else:
+                shard = table.column("shard")[0].as_py()
+                dense: list[np.ndarray] = []
+                for a, b in _sparse(x, size, label, n_home, reach, similarity, dense):
+                    out.append((cls[a], cls[b], np.zeros(len(a), np.int64)))
+                for members in dense:
+                    blocks = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
+                    for i in range(len(blocks)):
+                        for j in range(i + (len(blocks) > 1), len(blocks)):
+                            both = blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])
+                            task = xxhash.xxh64_intdigest(f"{shard}:{cls[members[0]]}:{i}:{j}") >> 2 | 1
+                            out.append((cls[both], label[both], np.full(len(both), task)))
+        a, b, task = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        B.relax()
+        low, high = np.where(task == 0, np.minimum(a, b), a), np.where(task == 0, np.maximum(a, b), b)
+        return pa.table({"a": low, "b": high, "task": task})
 
     dealt = classes.select("fp", "size", "cls", "label").mapInArrow(deal, "shard long, home boolean, data binary")
-    return dealt.groupBy("shard").applyInArrow(find, "a long, b long").distinct()
+    return dealt.groupBy("shard").applyInArrow(find, "a long, b long, task long").distinct()
 
 
 def _route(fps: np.ndarray, tree: list[tuple[int, int]], reach: int, every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,35 +222,34 @@ def _route(fps: np.ndarray, tree: list[tuple[int, int]], reach: int, every: bool
         near_left, near_right = d - reach <= radius, d + reach > radius
         left = inside | (near_left & (every | ~home))
         right = ~inside | near_right
-        left, right = (left & (home | near_left)), (right & (~inside | near_right))
         todo.append((2 * node + 1, at[left], (home & inside)[left]))
         todo.append((2 * node + 2, at[right], (home & ~inside)[right]))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The ``a, b`` whose shingle sets have at least the similarity; only the documents of these classes are read again."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    """``a, b`` whose shingle sets have at least the similarity; only the documents of these classes are read again."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.where("task = 0").select("b")).distinct()
     wanted = B.saved(classes.join(ends, "cls").select("cls", "first", "text_hash"))
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["cls"], pa.array([shingle_set(x or b"", width).tobytes() for x in b["text"].to_pylist()], pa.binary())], names=["cls", "set"])
+    def sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([b["cls"], pa.array([shingle_set(x or b"", width).tobytes() for x in b["text"].to_pylist()], pa.binary())], names=["cls", "set"])
 
     rows = B.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
     own = rows.join(bounded(wanted.select(F.col("first").alias("doc_id"), "text_hash", "cls")), ["doc_id", "text_hash"])
-    own = B.saved(own.mapInArrow(sets, "cls long, set binary").dropDuplicates(["cls"]))
-    both = pairs.join(own.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    own = B.saved(B.map_rows(own.select("cls", "text"), sets, "cls long, set binary").dropDuplicates(["cls"]))
+    both = pairs.where("task = 0").join(own.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
 
-    def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def similar(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep = []
+        for x, y in zip(b["x"], b["y"], strict=True):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    links = B.map_rows(both.select("a", "b", "x", "y"), similar, "a long, b long")
+    tasks = pairs.where("task <> 0").join(own.select(F.col("cls").alias("a"), "set"), "a")
+    return links.union(tasks.groupBy("task").applyInArrow(lambda t: _compare_all(t, similarity), "a long, b long"))
 
 
 def near_copy_groups(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, close: int = CLOSE, reach: int = REACH) -> DataFrame:
@@ -200,7 +270,7 @@ def near_copy_groups(docs: DataFrame, *, width: int = WIDTH, similarity: float =
     labels = _labels(links)
     merged = usable if labels is None else usable.join(labels, "cls", "left")
     merged = B.saved(merged.withColumn("label", F.coalesce("root", "cls") if labels is not None else F.col("cls")))
-    open_pairs = B.saved(candidates(merged, total, reach=reach, similarity=similarity, forest=False).join(close_pairs, ["a", "b"], "left_anti"))
+    open_pairs = B.saved(candidates(merged, total, reach=reach, similarity=similarity, forest=False).join(close_pairs, ["a", "b", "task"], "left_anti"))
     more = B.saved(_verified(open_pairs, classes, docs, width, similarity))
     labels = _labels(links.union(more))
     grouped = classes.select("h1", "h2", "cls") if labels is None else classes.join(labels, "cls", "left").select("h1", "h2", F.coalesce("root", "cls").alias("cls"))
