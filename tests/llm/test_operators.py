@@ -197,8 +197,9 @@ def test_tree_links_are_whole():
     assert len(set(want)) == len(set(group.values()))
 
 
-@pytest.mark.parametrize("dense", [4, 0])
-def test_near_copies(docs, none, monkeypatch, dense):
+@pytest.mark.parametrize("dense,shard,reach", [(4, 1 << 16, 64), (0, 2, 64), (4, 2, 24)])
+def test_near_copies(docs, none, monkeypatch, dense, shard, reach):
+    monkeypatch.setattr(near_copies, "SHARD", shard)
     monkeypatch.setattr(near_copies, "DENSE", dense)
     monkeypatch.setattr(near_copies, "BLOCK", 2)
     sets = [set(near_copies.shingle_set((t or "").encode(), 5).tolist()) for _, t in TEXTS]
@@ -217,9 +218,9 @@ def test_near_copies(docs, none, monkeypatch, dense):
             if same[i] == same[j] or (None not in (TEXTS[i][0], TEXTS[j][0]) and sets[i] and both >= 0.8 * len(sets[i] | sets[j])):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     groups = len({find(i) for i in range(n)})
-    got = near_copies.near_copy_groups(docs, reach=64).collect()
+    got = near_copies.near_copy_groups(docs, reach=reach).collect()
     assert len(got) == n and len({r["group_id"] for r in got}) == groups
-    kept = near_copies.drop_near_copies(docs, reach=64)
+    kept = near_copies.drop_near_copies(docs, reach=reach)
     assert kept.columns == docs.columns and kept.count() == groups
     assert near_copies.drop_near_copies(none).collect() == []
 
