@@ -108,12 +108,13 @@ def map_rows(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[pa.RecordB
 
 # --- packing -----------------------------------------------------------------
 
-_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_PACK, _PACK_TEXT, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=4), zstandard.ZstdDecompressor()
 
 
-def dump(*arrays: np.ndarray | bytes) -> bytes:
+def dump(*arrays: np.ndarray | bytes, text: bool = False) -> bytes:
+    """``text``: mostly text, for which more work pays."""
     parts = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
-    return _PACK.compress(b"".join(struct.pack("<I", len(x)) for x in parts) + b"".join(parts))
+    return (_PACK_TEXT if text else _PACK).compress(b"".join(struct.pack("<I", len(x)) for x in parts) + b"".join(parts))
 
 
 def load(data: bytes, *kinds: str) -> list:
@@ -130,6 +131,16 @@ def gaps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
 
+def key_planes(sorted_keys: np.ndarray, shift: int) -> np.ndarray:
+    """Ascending uint64 keys, whose last ``shift`` bits are zero, as the byte planes of their gaps; the high planes pack to nothing."""
+    return np.ascontiguousarray((gaps(sorted_keys) >> np.uint64(shift)).view(np.uint8).reshape(-1, 8).T)
+
+
+def keys_of_planes(planes: np.ndarray, shift: int) -> np.ndarray:
+    whole = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(whole, dtype=np.uint64) << np.uint64(shift)
+
+
 def bucket_bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` even ranges of uint64 begins among the sorted keys; n + 1 places."""
     marks = [(i << 64) // n for i in range(1, n)]
@@ -141,7 +152,7 @@ def bucket_bounds(sorted_keys: np.ndarray, n: int) -> np.ndarray:
 
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as w:
         w.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 

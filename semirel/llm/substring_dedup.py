@@ -2,7 +2,7 @@
 
 A byte goes when it lies in a ``length``-byte string that also starts in a document
 with a smaller ``doc_id``. Equal strings must meet to be compared, so each one is
-dealt by the smallest hash among its 16-grams; neighbouring strings mostly share that
+dealt by the smallest hash among its 24-grams; neighbouring strings mostly share that
 hash and travel together as one stretch of text. First the hashes alone are exchanged,
 and only stretches whose hash occurs in two documents go on. Each bucket then sorts
 its suffixes by deep-shallow sorting (``suffix_sort``) to the depth of a string: first
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from semirel.llm import blocks as B
 from semirel.llm.suffix_sort import deep_shallow
 
-LENGTH, GRAM, SLICE, LONGEST, HOT_DOCS = 50, 16, 1 << 19, 256, 512
+LENGTH, GRAM, SLICE, LONGEST, HOT_DOCS, BLOCK_BYTES, AT_ONCE, SPARE_BITS = 50, 24, 1 << 16, 256, 512, 4 << 20, 100_000, 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,11 +41,19 @@ _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 def _window_keys(data: np.ndarray, length: int) -> np.ndarray:
     """For each window of ``length`` bytes the smallest hash of its grams."""
-    h, span, base = _BYTE[data], 1, np.uint64(0x9E3779B97F4A7C15)
-    while span < GRAM:
-        h = h[:-span] * base + h[span:]
-        base, span = base * base, 2 * span
-    h, width, need = _mix(h), 1, length - GRAM + 1
+    h, base = _BYTE[data], np.uint64(0x9E3779B97F4A7C15)
+    for span in (1, 2, 4):
+        one = h[:-span] * base
+        one += h[span:]
+        h, base = one, base * base
+    one = h[:-8] * base
+    one += h[8:]
+    h = h[16:] + one[:-8] * base  # three runs of eight bytes
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h &= np.uint64((1 << 64) - (1 << SPARE_BITS))  # fewer bits to send; equal keys of different strings are told apart later
+    width, need = 1, length - GRAM + 1
     while 2 * width <= need:
         h, width = np.minimum(h[:-width], h[width:]), 2 * width
     return np.minimum(h[: len(h) - (need - width)], h[need - width :]) if need > width else h
@@ -67,11 +75,11 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> Stretches:
     for a in range(0, max(n, 0), SLICE):
         m = min(SLICE, n - a)
         keys = _window_keys(data[a : a + m + length - 1], length)
-        at = np.arange(a, a + m)
-        row = np.searchsorted(ends, at, side="right")
-        whole = at + length <= ends[np.minimum(row, len(ends) - 1)]
+        whole = np.ones(m, bool)  # does not reach into the next document
+        for end in ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + m + length)].tolist():
+            whole[max(0, end - length + 1 - a) : max(0, end - a)] = False
         new = np.ones(m, bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]) | ~whole[:-1]
+        new[1:] = (keys[1:] != keys[:-1]) | ~whole[:-1]
         first = np.flatnonzero(new & whole)
         stop = np.append(np.flatnonzero(new | ~whole), m)
         size = stop[np.searchsorted(stop, first, side="right")] - first
@@ -79,7 +87,7 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int) -> Stretches:
             times = -(-size // LONGEST)
             offset = (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * LONGEST
             first, size = np.repeat(first, times) + offset, np.minimum(np.repeat(size, times) - offset, LONGEST)
-        parts.append((first + a, size, keys[first], row[first]))
+        parts.append((first + a, size, keys[first], np.searchsorted(ends, first + a, side="right")))
     np.seterr(**old)
     if not parts:
         return Stretches(*(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)))
@@ -104,8 +112,9 @@ def _hold(table: pa.Table, length: int) -> Held:
     text, ends = b"".join(texts), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
     found = stretches(np.frombuffer(text, np.uint8), ends, length)
     keys, of = np.unique(found.key, return_inverse=True)
-    pairs = np.unique(np.stack([of, np.unique(ids, return_inverse=True)[1][found.row]]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
-    return Held(text, ends, ids, found, keys, np.bincount(pairs[0], minlength=len(keys)), of)
+    doc = np.unique(ids, return_inverse=True)[1]
+    pairs = np.unique(of * len(ids) + doc[found.row]) // max(1, len(ids))
+    return Held(text, ends, ids, found, keys, np.bincount(pairs, minlength=len(keys)), of)
 
 
 def _distinct(held: Held, n: int, got: dict[int, bytes], length: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,6 +146,23 @@ def _distinct(held: Held, n: int, got: dict[int, bytes], length: int) -> tuple[l
     return [listed[i] for i in by_key.tolist()], np.array(keys, np.uint64)[by_key], place[np.array(strings, np.int64)], np.array(places, np.int64), np.array(rows, np.int64)
 
 
+def _runs(text: bytes, start: np.ndarray, windows: np.ndarray, least: np.ndarray, some: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs ``stretch, from, to, smallest document`` of windows of the stretches ``some``, whose every suffix is sorted."""
+    counts = windows[some]
+    inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(some, counts)
+    order, group = deep_shallow(text, start[owner] + inside, length)
+    smallest = np.full(int(group[-1]) + 1, B.LAST_ID)
+    np.minimum.at(smallest, group, least[owner[order]])
+    lowest = np.empty(len(order), np.int64)
+    lowest[order] = smallest[group]
+    cut = np.ones(len(lowest), bool)
+    cut[1:] = (np.diff(owner) != 0) | (np.diff(lowest) != 0)
+    first = np.flatnonzero(cut)
+    last = np.append(first, len(lowest))[1:]
+    return owner[first], inside[first], inside[last - 1] + 1, lowest[first]
+
+
 def _compare(payloads: list[bytes], length: int) -> list[bytes | None]:
     """For each block's strings the stretches of windows whose smallest document is smaller than the block's largest."""
     asked = [B.load(x, "u8", "i4", "i8", "i8", "bytes") for x in payloads]
@@ -154,27 +180,22 @@ def _compare(payloads: list[bytes], length: int) -> list[bytes | None]:
     np.minimum.at(least, of, low)
     one = np.zeros(n, np.int64)
     one[of] = np.arange(len(of))
-    # where different stretches share a key: all suffixes of full depth in them
+    # where different stretches share a key: all suffixes of full depth in them, some keys at a time
     _, share, times = np.unique(key[one], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(times[share] > 1)
     windows = size[one] - length + 1
-    counts = windows[mixed]
-    base = np.cumsum(counts) - counts
-    inside = np.arange(counts.sum()) - np.repeat(base, counts)
-    owner = np.repeat(mixed, counts)
-    order, group = deep_shallow(text, start[one[owner]] + inside, length)
-    smallest = np.full(int(group[-1]) + 1 if len(group) else 0, B.LAST_ID)
-    np.minimum.at(smallest, group, least[owner[order]])
-    lowest = np.empty(len(order), np.int64)
-    lowest[order] = smallest[group]
-    # runs (stretch, from, to, smallest document)
-    cut = np.ones(len(lowest), bool)
-    cut[1:] = (np.diff(owner) != 0) | (np.diff(lowest) != 0)
-    first = np.flatnonzero(cut)
-    last = np.append(first, len(lowest))[1:]
     simple = np.flatnonzero(times[share] == 1)
-    run_of = np.concatenate([simple, owner[first]])
-    runs = np.stack([np.concatenate([np.zeros(len(simple), np.int64), inside[first]]), np.concatenate([windows[simple], inside[last - 1] + 1]), np.concatenate([least[simple], lowest[first]])])
+    found = [(simple, np.zeros(len(simple), np.int64), windows[simple], least[simple])]
+    mixed = np.flatnonzero(times[share] > 1)
+    mixed = mixed[np.argsort(share[mixed], kind="stable")]
+    ends = np.flatnonzero(np.diff(share[mixed], append=-1)) + 1  # of each key
+    upto, done = np.cumsum(windows[mixed]), 0
+    while done < len(mixed):
+        fit = np.searchsorted(upto[ends - 1], (upto[done - 1] if done else 0) + AT_ONCE, side="right")  # keys that fit
+        stop = int(ends[max(fit - 1, np.searchsorted(ends, done, side="right"))])
+        found.append(_runs(text, start[one], windows, least, mixed[done:stop], length))
+        done = stop
+    run_of, *runs = (np.concatenate(x) for x in zip(*found, strict=True))
+    runs = np.stack(runs)
     by = np.argsort(run_of, kind="stable")
     run_of, runs = run_of[by], runs[:, by]
     begin, total = np.searchsorted(run_of, np.arange(n)), np.bincount(run_of, minlength=n)
@@ -202,19 +223,19 @@ def substring_dedup(docs: DataFrame, *, length: int = LENGTH, hot_docs: int = HO
     """
     if length < GRAM:
         raise ValueError(f"strings of at least {GRAM} bytes are compared")
-    blocks = B.make_blocks(B.id_and_text(docs))
-    n = B.bucket_count(blocks, weight=2.0)
+    blocks = B.make_blocks(B.id_and_text(docs), BLOCK_BYTES)
+    n = B.bucket_count(blocks, weight=8.0)  # sorting holds each suffix's numbers besides its text
 
     def ask(_: int, table: pa.Table) -> Iterator[tuple[int, bytes]]:
         held = _hold(table, length)
         bounds = B.bucket_bounds(held.keys, n)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[k], bounds[k + 1])
-            yield k, B.dump(B.gaps(held.keys[part]), np.minimum(held.docs[part], 65535).astype(np.uint16))
+            yield k, B.dump(B.key_planes(held.keys[part], SPARE_BITS), np.minimum(held.docs[part], 65535).astype(np.uint16))
 
     def count(_: int, which: list[int], payloads: list[bytes]) -> list[tuple[int, bytes]]:
-        asked = [B.load(x, "u8", "u2") for x in payloads]
-        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+        asked = [(B.keys_of_planes(a, SPARE_BITS), b) for a, b in (B.load(x, "u1", "u2") for x in payloads)]
+        keys = np.concatenate([a[0] for a in asked])
         _, of = np.unique(keys, return_inverse=True)
         held = np.bincount(of, np.concatenate([a[1] for a in asked]))[of]
         out, at = [], 0
@@ -235,7 +256,9 @@ def substring_dedup(docs: DataFrame, *, length: int = LENGTH, hot_docs: int = HO
         bounds, out = B.bucket_bounds(keys, n), []
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             i, j = bounds[k], bounds[k + 1]
-            out.append((block, k, B.dump(B.gaps(keys[i:j]), np.fromiter(map(len, strings[i:j]), np.int32, j - i), low[i:j], high[i:j], b"".join(strings[i:j]))))
+            out.append((block, k, B.dump(B.gaps(keys[i:j]), np.fromiter(map(len, strings[i:j]), np.int32, j - i), low[i:j], high[i:j], b"".join(strings[i:j]), text=True)))
+        del held, strings
+        B.relax()
         return B.answers(out)
 
     def compare(_: int, which: list[int], payloads: list[bytes]) -> list[tuple[int, bytes]]:

@@ -113,10 +113,17 @@ def deep_shallow(text: bytes, starts: np.ndarray, lengths: np.ndarray | int, dep
     fresh = np.zeros(n, bool)
     fresh[begins] = True
     for b, e in zip(begins[~alone].tolist(), ends[~alone].tolist(), strict=True):
-        trie = BlindTrie()
-        for i in order[b:e].tolist():
-            trie.add(text[at[i] : end[i]], i)
-        for _, members in trie.leaves():
+        first, *rest = order[b:e].tolist()
+        trie, string, same = BlindTrie(), text[at[first] : end[first]], [first]
+        for i in rest:
+            other = text[at[i] : end[i]]
+            if trie.root is None and other == string:
+                same.append(i)  # the trie is still one leaf
+                continue
+            if trie.root is None:
+                trie.root = [-1, string, same]
+            trie.add(other, i)
+        for _, members in trie.leaves() if trie.root else [(string, same)]:
             out[b : b + len(members)] = members
             fresh[b] = True
             b += len(members)
