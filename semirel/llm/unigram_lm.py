@@ -194,18 +194,17 @@ def is_held_out(doc: int, part: int = 2, parts: int = 7) -> bool:
     return doc != B.LAST_ID and zlib.crc32(str(doc).encode()) % parts == part
 
 
-def _tokens(table: pa.Table) -> tuple[list[tuple[int, list[bytes]]], list[bytes], np.ndarray, np.ndarray]:
-    """Each document's words; and the block's distinct words by hash, with their hashes and training counts."""
+def _tokens(table: pa.Table, learn: bool) -> tuple[list[tuple[int, list[bytes]]], list[bytes], np.ndarray, np.ndarray]:
+    """Each document's words; and the block's distinct words by hash, with their hashes and, to ``learn``, training counts."""
     rows, learned, seen = [], Counter(), set()
     for doc, text in zip(B.ids_of(table).tolist(), B.texts_of(table), strict=True):
         words = text.lower().split()
         rows.append((doc, words))
-        seen.update(words)
-        if not is_held_out(doc):
-            learned.update(words)
+        (learned if learn and not is_held_out(doc) else seen).update(words)
+    seen.update(learned)
     hashed = sorted(zip(map(xxhash.xxh64_intdigest, seen), seen, strict=True))
     words = [w for _, w in hashed]
-    return rows, words, np.array([h for h, _ in hashed], np.uint64), np.array([learned[w] for w in words], np.int64)
+    return rows, words, np.array([h for h, _ in hashed], np.uint64), np.array([learned[w] for w in words], np.int64) if learn else np.zeros(0, np.int64)
 
 
 def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds: int = EM_ROUNDS) -> DataFrame:
@@ -222,7 +221,7 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
     n = B.bucket_count(blocks)
 
     def ask(_: int, table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        _, words, hashes, counts = _tokens(table)
+        _, words, hashes, counts = _tokens(table, True)
         bounds = B.bucket_bounds(hashes, n)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             part = slice(bounds[k], bounds[k + 1])
@@ -293,14 +292,14 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
     answered = asked.select("bucket", "block", "data").groupBy("bucket").cogroup(vocabulary.groupBy("bucket")).applyInArrow(weigh, B.ANSWER_SCHEMA)
 
     def finish(_: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        rows, words, _, _ = _tokens(table)
+        rows, words, _, _ = _tokens(table, False)
         counts, logs = (np.concatenate(x) for x in zip(*(B.load(got[k], "i8", "f8") for k in sorted(got)), strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
         place = {w: i for i, w in enumerate(words)}
         weights = np.log10(counts + 1.0)
         shift, end = math.log10(train_tokens + kinds + 1), math.log10(train_docs + 1)
         out: list[tuple] = []
         for doc, listed in rows:
-            at = np.fromiter((place[w] for w in listed), np.int64, len(listed))
+            at = np.fromiter(map(place.__getitem__, listed), np.int64, len(listed))
             size = len(listed) + 1
             out.append((is_held_out(doc), size, int((counts[at] > 0).sum()) + int(train_docs > 0), train_tokens, float(weights[at].sum()) + end - size * shift, (float(logs[at].sum()) + end_score) / LN10))
         columns = list(zip(*out, strict=True))
