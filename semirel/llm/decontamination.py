@@ -50,11 +50,18 @@ def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{_NUMBER}{_NAME}{_UNIT}]")
 
 
+def _forms(rows: DataFrame, folded: bool, *keep: str | Column) -> DataFrame:
+    """``keep, form, words``: each text's template and, with ``folded``, also that of the text in lower case, where names are literal words."""
+    if not folded:
+        return rows.select(*keep, F.lit(0).alias("form"), template(F.col("text")).alias("words"))
+    return rows.select(*keep, F.posexplode(F.array(template(F.col("text")), template(F.lower("text")))).alias("form", "words"))
+
+
 def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """``key, at, window`` for each window of ``words``."""
-    hashed = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= width)
+    """``key, form, at, window`` for each window of ``words``."""
+    hashed = rows.select(key, "form", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= width)
     each = F.transform(F.sequence(F.lit(0), F.size("h") - width), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(width))))
-    return hashed.select(key, F.posexplode(each).alias("at", "window"))
+    return hashed.select(key, "form", F.posexplode(each).alias("at", "window"))
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,7 +69,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT, folded: bool = False) -> DataFrame:
     """``doc_id, item_id, matched, item_windows, coverage, slots, consistent, verbatim`` for each contaminated pair.
 
     ``coverage`` is the share of the item's usable windows found in the document. Windows
@@ -71,32 +78,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     ``consistent`` those that have one value in the document; ``verbatim`` says that all
     values are the same.
 
+    With ``folded`` a pair is also reported if it passes in lower case, whatever the case of either
+    text; its numbers are then those of the form with more consistent values.
+
     Null or empty texts and texts under ``window`` words have no windows; null ids are
     never reported. Rows that repeat a ``doc_id`` or ``item_id`` count as one document or
     item. Extra columns never matter. Empty tables: no rows.
     """
     pick = lambda df, key: B.numbered(df).select(F.col(f"c{df.columns.index(key)}").cast("long").alias(key), F.col(f"c{df.columns.index('text')}").cast("string").alias("text")).where(F.col(key).isNotNull())
     items, texts = pick(benchmark, "item_id"), pick(docs, "doc_id")
-    item_words = items.select("item_id", template(F.col("text")).alias("words"))
+    item_words = _forms(items, folded, "item_id")
     span = lambda at: F.slice("words", at + 1, window)
-    usable = item_words.where(F.size("words") >= window).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("item_at"))
+    usable = item_words.where(F.size("words") >= window).select("item_id", "form", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("item_at"))
     literal = F.filter(span(F.col("item_at")), lambda w: ~_is_slot(w))
     usable = usable.where((F.size(literal) >= window - MAX_SLOTS) & (F.size(F.array_distinct(literal)) >= MIN_LITERALS))
-    usable = usable.select("item_id", "item_at", F.xxhash64(*(F.xxhash64(F.get("words", F.col("item_at") + k)) for k in range(window))).alias("window"))
+    usable = usable.select("item_id", "form", "item_at", F.xxhash64(*(F.xxhash64(F.get("words", F.col("item_at") + k)) for k in range(window))).alias("window"))
     item_windows = B.saved(usable.distinct())
-    total = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
+    total = item_windows.groupBy("item_id", "form").agg(F.countDistinct("item_at").alias("item_windows"))
 
-    found = _windows(texts.select("doc_id", template(F.col("text")).alias("words")), "doc_id", window)
-    hits = found.join(bounded(item_windows), "window").select("doc_id", "item_id", "at", "item_at")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
+    found = _windows(_forms(texts, folded, "doc_id"), "doc_id", window)
+    hits = found.join(bounded(item_windows), ["form", "window"]).select("doc_id", "item_id", "form", "at", "item_at")
+    pairs = hits.groupBy("doc_id", "item_id", "form").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
     pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.col("places.item_at"))))
-    pairs = B.saved(pairs.join(total, "item_id").where(F.col("matched") >= min_coverage * F.col("item_windows")))
+    pairs = B.saved(pairs.join(total, ["item_id", "form"]).where(F.col("matched") >= min_coverage * F.col("item_windows")))
 
     # slots: only the documents of a pair are read again
     wanted = bounded(pairs.select("doc_id").distinct())
     doc_raw = texts.join(wanted, "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("doc_words"))
-    item_raw = items.select("item_id", raw_words(F.col("text")).alias("item_words"), template(F.col("text")).alias("words"))
-    both = pairs.join(doc_raw, "doc_id").join(item_raw, "item_id")
+    item_raw = _forms(items, folded, "item_id", raw_words(F.col("text")).alias("item_words"))
+    both = pairs.join(doc_raw, "doc_id").join(item_raw, ["item_id", "form"])
     places = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((p["item_at"] + k).alias("i"), (p["at"] + k).alias("d")))))
     slots = F.filter(F.array_distinct(places), lambda p: _is_slot(F.get("words", p["i"])))
     values = F.array_distinct(F.transform(slots, lambda p: F.struct(F.get("item_words", p["i"]).alias("i"), F.get("doc_words", p["d"]).alias("d"))))
@@ -111,8 +121,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose ``doc_id`` no contaminated pair names."""
-    bad = B.saved(contaminated(docs, benchmark, **how).select("doc_id").distinct())
+    """The rows of ``docs``, with their own columns, whose ``doc_id`` no contaminated pair, in either case form, names."""
+    bad = B.saved(contaminated(docs, benchmark, folded=True, **how).select("doc_id").distinct())
     rows, key = B.numbered(docs), f"c{docs.columns.index('doc_id')}"
     kept = rows.join(bounded(bad), rows[key].cast("long") == bad["doc_id"], "left_anti")
     return kept.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))

@@ -359,6 +359,17 @@ def test_decontamination(spark, docs, none):
     assert {r["item_id"] for r in decontamination.contaminated(docs, bench).collect()} == {4}
 
 
+@pytest.mark.parametrize("change", [str.upper, str.lower])
+def test_decontamination_in_other_case(spark, change):
+    """Names are placeholders only where they are capitalised; a copy in other letters is found by its words."""
+    question = "Alice and Bob walk from Boston to Denver while Carol takes the slow train to Chicago and Dave flies 300 km over Ohio with Erin"
+    bench = spark.createDataFrame([(1, question)], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"{say(9)} {change(question)} {say(9)}"), (2, say(60)), (3, question)], "doc_id long, text string")
+    assert {r["doc_id"] for r in decontamination.contaminated(texts, bench).collect()} == {3}  # the registered query's rule
+    assert {r["doc_id"] for r in decontamination.contaminated(texts, bench, folded=True).collect()} == {1, 3}
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(texts, bench).collect()] == [2]
+
+
 def test_decontamination_sql(spark, tmp_path):
     """The SQL reads re-parameterised questions as the operator does."""
     import duckdb
