@@ -9,7 +9,7 @@ of the item to one value of the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semirel.llm import blocks as B
@@ -69,7 +69,20 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT, folded: bool = False) -> DataFrame:
+def _occurrences(pairs: DataFrame, min_coverage: float) -> DataFrame:
+    """``pairs`` with the places of one occurrence of the item in each row, of those that reach the coverage: all places
+    of the document, those at one distance from the item's, and each stretch in which the item's places rise."""
+    key = ("doc_id", "item_id", "form", "item_windows")
+    order = Window.partitionBy(*key).orderBy("at", "item_at")
+    each = pairs.select(*key, F.inline("places")).withColumn("back", (F.col("item_at") <= F.lag("item_at").over(order)).cast("int"))
+    each = each.withColumn("stretch", F.coalesce(F.sum("back").over(order), F.lit(0)).cast("int"))
+    marks = F.array(*(F.struct(F.lit(kind).alias("kind"), which.alias("which")) for kind, which in enumerate((F.lit(0), F.col("at") - F.col("item_at"), F.col("stretch")))))
+    apart = each.withColumn("occurrence", F.explode(marks)).groupBy(*key, "occurrence").agg(F.collect_list(F.struct("at", "item_at")).alias("places"))
+    apart = apart.withColumn("matched", F.size(F.array_distinct(F.col("places.item_at"))))
+    return apart.where(F.col("matched") >= min_coverage * F.col("item_windows")).drop("occurrence")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_consistent: float = MIN_CONSISTENT, folded: bool = False, apart: bool = False) -> DataFrame:
     """``doc_id, item_id, matched, item_windows, coverage, slots, consistent, verbatim`` for each contaminated pair.
 
     ``coverage`` is the share of the item's usable windows found in the document. Windows
@@ -79,7 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     values are the same.
 
     With ``folded`` a pair is also reported if it passes in lower case, whatever the case of either
-    text; its numbers are then those of the form with more consistent values.
+    text; its numbers are then those of the form with more consistent values. With ``apart`` the slots are also judged for each
+    occurrence of the item in the document by itself, and a pair is reported if any of them passes.
 
     Null or empty texts and texts under ``window`` words have no windows; null ids are
     never reported. Rows that repeat a ``doc_id`` or ``item_id`` count as one document or
@@ -102,6 +116,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.col("places.item_at"))))
     pairs = B.saved(pairs.join(total, ["item_id", "form"]).where(F.col("matched") >= min_coverage * F.col("item_windows")))
 
+    if apart:
+        pairs = B.saved(_occurrences(pairs, min_coverage))
+
     # slots: only the documents of a pair are read again
     wanted = bounded(pairs.select("doc_id").distinct())
     doc_raw = texts.join(wanted, "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("doc_words"))
@@ -121,8 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose ``doc_id`` no contaminated pair, in either case form, names."""
-    bad = B.saved(contaminated(docs, benchmark, folded=True, **how).select("doc_id").distinct())
+    """The rows of ``docs``, with their own columns, whose ``doc_id`` no contaminated pair names, in either case form and by any occurrence."""
+    bad = B.saved(contaminated(docs, benchmark, folded=True, apart=True, **how).select("doc_id").distinct())
     rows, key = B.numbered(docs), f"c{docs.columns.index('doc_id')}"
     kept = rows.join(bounded(bad), rows[key].cast("long") == bad["doc_id"], "left_anti")
     return kept.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))

@@ -370,6 +370,25 @@ def test_decontamination_in_other_case(spark, change):
     assert [r["doc_id"] for r in decontamination.drop_contaminated(texts, bench).collect()] == [2]
 
 
+def test_decontamination_of_several_occurrences(spark):
+    """Copies with other values in one document, or two items of one template, do not hide each other."""
+    question = "the train to Boston leaves at 7 and goes 60 km before the driver Alice stops near the old mill where Alice buys 3 apples"
+    swap = lambda a, b, c: question.replace("Alice", a).replace("7", b).replace("60", c).replace("3 apples", f"{b}1 apples").replace("Boston", f"{a}ton")
+    other, third = swap("Robert", "9", "85"), swap("Nora", "8", "77")
+    longer = other.replace("Robertton", "New Denver")
+    bench = spark.createDataFrame([(1, question), (2, other)], "item_id long, text string")
+    hidden = swap("Robert", "9", "85").replace("driver Robert", "driver Zoe").replace("goes 85", "goes 9")
+    rows = [(1, f"{question} {say(9)} {other}"), (2, f"{other} {third} {say(5)}"), (3, f"{longer} {third}"), (4, say(60))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(texts, bench).collect()}
+    assert (1, 1) not in whole and (1, 2) not in whole  # the registered query's rule
+    apart = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(texts, bench, apart=True).collect()}
+    assert set(apart) == {(d, i) for d in (1, 2, 3) for i in (1, 2)} and apart[1, 1]["verbatim"] and apart[1, 2]["verbatim"]
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(texts, bench).collect()] == [4]
+    mixed = spark.createDataFrame([(1, hidden)], "doc_id long, text string")
+    assert decontamination.contaminated(mixed, bench.where("item_id = 1"), apart=True, min_consistent=1.0).collect() == []
+
+
 def test_decontamination_sql(spark, tmp_path):
     """The SQL reads re-parameterised questions as the operator does."""
     import duckdb
