@@ -5,7 +5,9 @@ their number of shingles, as similar sets are of similar size, and by the leaves
 vantage-point tree over their fingerprints (``simhash``). A first round verifies one
 spanning forest of close fingerprints; a second one verifies every candidate that still
 lies between two groups. Where these are dense, no pairs are emitted: their members go
-in blocks to tasks that compare whole blocks of sets at once.
+in blocks to tasks that compare whole blocks of sets at once. A last round leaves nothing
+to the fingerprints: sets of the similarity share a shingle of their first few in any
+common order, so all classes of different groups that share one are verified too.
 """
 
 from __future__ import annotations
@@ -25,26 +27,56 @@ from semirel.llm.decontamination import bounded
 WIDTH, SIMILARITY, CLOSE, REACH, SHARD = 5, 0.8, 8, 14, 1 << 16
 #: Pairs for each member from which a group of candidates is dense; members of a block; pairs that a shard holds at once.
 DENSE, BLOCK, HELD_PAIRS = 4, 256, 1 << 21
+#: Texts from which the common order learns what is frequent, frequent shingles that it knows, and leading shingles that a
+#: bucket settles. These change what is compared at most, never what is found: any one order is exact.
+ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS = 1 << 13, 1 << 17, 1 << 19
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, S.SEED) for x in S.shingles(text, width)), np.uint64))
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, text_hash, words_hash (two longs), fp, size`` for each row."""
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of some texts hold, ascending, and in how many."""
+    rows = B.id_and_text(docs)
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows.count() // ORDER_TEXTS))) == 0)
+
+    def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        held = [shingle_set(x or b"", width) for x in b["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["shingle"])
+
+    counted = B.map_rows(some.select("text"), each, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(ORDER_KEYS).collect()
+    keys, times = np.array([r[0] for r in counted], np.int64).view(np.uint64), np.array([r[1] for r in counted], np.int64)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def leading(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set (ascending) the first shingles, rare ones before frequent ones, one of which any set of the similarity shares."""
+    keys, times = frequent
+    n = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1 if len(found) else 0
+    if not len(keys):
+        return found[:n]
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return found[np.argsort(np.where(keys[at] == found, times[at], 0), kind="stable")[:n]]
+
+
+def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``doc_id, text_hash, words_hash (two longs), fp, size, leading`` for each row; ``fp`` is that of the distinct shingles."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # at most ORDER_KEYS keys, whatever the corpus
 
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
         for text in b["text"].to_pylist():
             text = text or b""
-            hashes = np.fromiter((xxhash.xxh64_intdigest(x, S.SEED) for x in S.shingles(text, width)), "<u8")
+            found = shingle_set(text, width)
             d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), "<i8")
-            out.append((int(d[0]), int(d[1]), int(np.uint64(S.majority(hashes)).view(np.int64)), len(np.unique(hashes))))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=["doc_id", "text_hash", "h1", "h2", "fp", "size"])
+            out.append((int(d[0]), int(d[1]), int(np.uint64(S.majority(found)).view(np.int64)), len(found), leading(found, shared.value, similarity).tobytes()))
+        *numbers, keys = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in numbers), pa.array(keys, pa.binary())], names=["doc_id", "text_hash", "h1", "h2", "fp", "size", "leading"])
 
     rows = B.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return B.map_rows(rows, each, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long")
+    return B.map_rows(rows, each, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long, leading binary")
 
 
 def _pairs(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,6 +258,68 @@ def _route(fps: np.ndarray, tree: list[tuple[int, int]], reach: int, every: bool
         todo.append((2 * node + 2, at[right], (home & ~inside)[right]))
 
 
+def _across(key: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs that share a key (ordered by key, then label) under different labels and may have the similarity, some at a time."""
+    if not len(key):
+        return
+    new = np.append(np.diff(key) != 0, True)
+    change = new | np.append(np.diff(label) != 0, True)
+    run_end, label_end = (np.flatnonzero(x)[np.searchsorted(np.flatnonzero(x), np.arange(len(key)))] + 1 for x in (new, change))
+    begins = np.concatenate(([0], np.cumsum(run_end - label_end)))
+    i = 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + HELD_PAIRS, side="right")) - 1)
+        counts = (run_end - label_end)[i:j]
+        a = np.repeat(np.arange(i, j), counts)
+        b = np.arange(len(a)) - np.repeat(begins[i:j] - begins[i], counts) + np.repeat(label_end[i:j], counts)
+        total = size[a] + size[b]
+        # at their first common shingle no more than the shorter rest can be common
+        keep = np.minimum(size[a] - at[a], size[b] - at[b]) >= similarity / (1 + similarity) * total - 1e-6
+        keep &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+        if keep.any():
+            yield a[keep], b[keep]
+        i = j
+
+
+def shared_leads(classes: DataFrame, *, similarity: float) -> DataFrame:
+    """``a, b, task`` (0) of all classes with different ``label`` that share one of their ``leading`` shingles and may have the similarity."""
+    n = classes.agg(F.coalesce(F.sum(F.length("leading")), F.lit(0))).first()[0] // 8 // BUCKET_KEYS + 1
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["leading"]]
+            counts = [len(x) for x in sets]
+            if not sum(counts):
+                continue
+            key, at = np.concatenate(sets), np.concatenate([np.arange(k, dtype=np.int32) for k in counts])
+            of = np.repeat(np.arange(len(sets), dtype=np.int32), counts)
+            order = np.argsort(key)
+            key, of, at, out = key[order], of[order], at[order], []
+            bounds = B.bucket_bounds(key, n)
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                part = slice(bounds[k], bounds[k + 1])
+                held, mine = np.unique(of[part], return_inverse=True)
+                out.append((k, B.dump(B.gaps(key[part]), mine.astype(np.int32), at[part], *(b[c].to_numpy()[held] for c in ("cls", "size", "label")))))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["bucket", "data"])
+
+    def find(table: pa.Table) -> pa.Table:
+        parts = [B.load(d, "u8", "i4", "i4", "i8", "i8", "i8") for d in table.column("data").to_pylist()]
+        key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        at = np.concatenate([p[2] for p in parts])
+        cls, size, label = (np.concatenate([p[c][p[1]] for p in parts]) for c in (3, 4, 5))
+        order = np.lexsort((cls, label, key))
+        key, at, cls, size, label = (x[order] for x in (key, at, cls, size, label))
+        out = np.zeros((0, 2), np.int64)
+        for a, b in _across(key, size, label, at, similarity):
+            pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
+            out = np.unique(np.concatenate([out, pairs]), axis=0)
+        B.relax()
+        return pa.table({"a": out[:, 0], "b": out[:, 1], "task": np.zeros(len(out), np.int64)})
+
+    dealt = classes.select("cls", "size", "label", "leading").mapInArrow(deal, "bucket int, data binary")
+    return dealt.groupBy("bucket").applyInArrow(find, "a long, b long, task long").distinct()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """``a, b`` whose shingle sets have at least the similarity; only the documents of these classes are read again."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.where("task = 0").select("b")).distinct()
@@ -254,13 +348,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 def near_copy_groups(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, close: int = CLOSE, reach: int = REACH) -> DataFrame:
     """``doc_id, text_hash, group_id`` for each row: documents of one group are linked by Jaccard similarities of
-    ``width``-word shingle sets of at least ``similarity``, as far as their fingerprints differ in at most ``reach`` bits.
+    ``width``-word shingle sets of at least ``similarity``, however far their fingerprints differ: ``close`` and ``reach``
+    only say which are compared first.
 
     Null and empty texts are exact copies of each other. Texts of fewer than ``width``
     words are one shingle. Null ``doc_id``: only exact copies of it are found. Repeated
     rows are copies. Extra columns never matter. Empty table: no rows.
     """
-    sketches = B.saved(_sketches(docs, width))
+    sketches = B.saved(_sketches(docs, width, similarity))
     classes = sketches.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("r"), F.first("fp").alias("fp"), F.first("size").alias("size"))
     classes = B.saved(classes.select("h1", "h2", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash"), "fp", "size").withColumn("cls", F.monotonically_increasing_id()))
     total = classes.count()
@@ -272,7 +367,15 @@ def near_copy_groups(docs: DataFrame, *, width: int = WIDTH, similarity: float =
     merged = B.saved(merged.withColumn("label", F.coalesce("root", "cls") if labels is not None else F.col("cls")))
     open_pairs = B.saved(candidates(merged, total, reach=reach, similarity=similarity, forest=False).join(close_pairs, ["a", "b", "task"], "left_anti"))
     more = B.saved(_verified(open_pairs, classes, docs, width, similarity))
-    labels = _labels(links.union(more))
+    links = links.union(more)
+    labels = _labels(links)
+    leads = sketches.select("h1", "h2", "leading").dropDuplicates(["h1", "h2"])
+    merged = usable if labels is None else usable.join(labels, "cls", "left")
+    merged = merged.withColumn("label", F.coalesce("root", "cls") if labels is not None else F.col("cls")).join(leads, ["h1", "h2"])
+    seen = close_pairs.union(open_pairs)
+    far_pairs = B.saved(shared_leads(B.saved(merged.select("cls", "size", "label", "leading")), similarity=similarity).join(seen, ["a", "b", "task"], "left_anti"))
+    if not far_pairs.isEmpty():
+        labels = _labels(links.union(B.saved(_verified(far_pairs, classes, docs, width, similarity))))
     grouped = classes.select("h1", "h2", "cls") if labels is None else classes.join(labels, "cls", "left").select("h1", "h2", F.coalesce("root", "cls").alias("cls"))
     return sketches.join(grouped, ["h1", "h2"]).select("doc_id", "text_hash", F.col("cls").alias("group_id"))
 

@@ -225,6 +225,41 @@ def test_near_copies(docs, none, monkeypatch, dense, shard, reach):
     assert near_copies.drop_near_copies(none).collect() == []
 
 
+def test_near_copies_beyond_reach(spark):
+    """Pairs of the similarity whose fingerprints are farther apart than the reach are found as well."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + [f"v{i}"] if i % 2 else [f"v{j}" for j in range(6)] + words))]
+    once = " ".join(f"u{i}" for i in range(300))
+    rows += [(1000, once), (1001, once + " the same five words again" * 300)]
+    sets = {d: set(near_copies.shingle_set(t.encode(), 5).tolist()) for d, t in rows}
+    want = {(d, d + 1) for d, _ in rows[::2] if len(sets[d] & sets[d + 1]) >= 0.8 * len(sets[d] | sets[d + 1])}
+    assert (1000, 1001) in want and len(want) == 301
+    groups = defaultdict(set)
+    for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), close=0, reach=1).collect():
+        groups[r["group_id"]].add(r["doc_id"])
+    assert {tuple(sorted(g)) for g in groups.values()} == want
+
+
+@pytest.mark.parametrize("many", [0, 40])
+def test_leading_shingles_are_exact(many):
+    """Sets at the similarity share a leading shingle and pass the filters, whatever is known to be frequent."""
+    rng = np.random.default_rng(many)
+    for n in range(1, 120):
+        x = np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.permutation(len(x))[: -(-len(x) * 9 // 10)]], rng.integers(0, 1 << 60, n // 10, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if both < 0.8 * (len(x) + len(y) - both):
+            continue
+        frequent = np.sort(rng.permutation(x)[:many]), rng.integers(3, 9, min(many, len(x)))
+        leads = [near_copies.leading(z, frequent, 0.8) for z in (x, y)]
+        key, size, label, at = (np.concatenate(c) for c in zip(*((z, np.full(len(z), s), np.full(len(z), k), np.arange(len(z))) for k, (z, s) in enumerate(zip(leads, (len(x), len(y)), strict=True))), strict=True))
+        o = np.lexsort((label, key))
+        assert list(near_copies._across(key[o], size[o], label[o], at[o], 0.8))
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
