@@ -41,6 +41,7 @@ IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
     "ability": ("disabled", "blind", "deaf", "autistic", "paralyzed"),
 }
 _KIND = {term: kind for kind, terms in IDENTITY_TERMS.items() for term in terms}
+_TERMS = {term: i for i, term in enumerate(_KIND)}
 _EDGES = "\"'`.,;:!?()[]{}<>|*#%&$/\\-_+=~^"
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -69,13 +70,13 @@ def text_features(text: str, bits: int = BITS) -> np.ndarray:
     return np.unique(np.array([f for w, twice in words(text).items() for f in (*features(w, bits), *((again(w, bits),) if twice else ()))], np.int32))
 
 
-def _swaps(text: str) -> list[tuple[list[int], list[int]]]:
-    """Of each sentence with identity terms: the features that a swap removes, and those that it adds."""
-    out = []
+def _swaps(text: str) -> Counter:
+    """How often a sentence holds a term of ``_TERMS`` and not the other of its kind, by the places of both; as many keys as the term lists allow."""
+    out: Counter = Counter()
     for sentence in _SENTENCE.split(text):
         held = words(sentence)
         for term in sorted(held.keys() & _KIND.keys()):
-            out += [(features(term), features(other)) for other in IDENTITY_TERMS[_KIND[term]] if other != term and other not in held]
+            out.update((_TERMS[term], _TERMS[other]) for other in IDENTITY_TERMS[_KIND[term]] if other != term and other not in held)
     return out
 
 
@@ -96,8 +97,9 @@ def associated(docs: list[np.ndarray], labels: np.ndarray, size: int, least: flo
     return (present > 1) & (np.divide(n * apart * apart, spread, out=np.zeros(size), where=spread > 0) >= least)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, bits: int = BITS, epochs: int = EPOCHS, l2: float = L2, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the log loss plus ``penalty`` times the mean squared change of the score by a swap (Adam, fixed order)."""
+def fit(docs: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, bits: int = BITS, epochs: int = EPOCHS, l2: float = L2, penalty: float = SWAP_PENALTY, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the log loss plus ``penalty`` times the mean squared change of the score by a swap (Adam, fixed order).
+    A swap counts as often as ``times`` says (once)."""
     n, size = len(docs), 1 << bits
     if not n or labels.min() == labels.max():
         return np.zeros(size), -6.0 if not n or labels.max() == 0 else 6.0
@@ -115,6 +117,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
     w, bias = np.zeros(k), float(np.log(labels.mean() / (1 - labels.mean())))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     step, batch = 0, 256
+    part = (np.ones(len(swaps)) if times is None else times) / (len(swaps) if times is None else max(times.sum(), 1))
     for _ in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):
@@ -124,10 +127,9 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
             error = _sigmoid(np.bincount(of, w[flat], minlength=len(rows)) + bias) - labels[rows]
             grad = np.append(np.bincount(flat, error[of], minlength=k) / len(rows) + l2 * w, error.mean())
             if len(swaps) and penalty:
-                pick = rng.integers(0, len(swaps), min(len(swaps), batch))
-                change = w[in_[pick]].sum(axis=1) - w[out_[pick]].sum(axis=1)
-                np.add.at(grad, in_[pick].ravel(), np.repeat(2 * penalty * change / len(pick), PLACES))
-                np.add.at(grad, out_[pick].ravel(), np.repeat(-2 * penalty * change / len(pick), PLACES))
+                change = w[in_].sum(axis=1) - w[out_].sum(axis=1)
+                np.add.at(grad, in_.ravel(), np.repeat(2 * penalty * change * part, PLACES))
+                np.add.at(grad, out_.ravel(), np.repeat(-2 * penalty * change * part, PLACES))
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [(x or b"").decode() for x in b["text"].to_pylist()]
         found = [text_features(x, bits).tobytes() for x in texts]
-        changed = [np.array(_swaps(x)[:64], np.int32).tobytes() for x in texts]
+        changed = [np.array([(*pair, n) for pair, n in _swaps(x).items()], np.int32).tobytes() for x in texts]
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(found, pa.binary()), pa.array(changed, pa.binary())], names=["doc_id", "toxic", "found", "changed"])
 
     # the labels joined are at most max_labelled rows of two numbers, so they may be broadcast
@@ -185,8 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     joined = B.map_rows(joined, each, "doc_id long, toxic int, found binary, changed binary")
     rows = sorted(joined.collect(), key=lambda r: (r["doc_id"], r["found"]))[: 2 * max_labelled]
     found = [np.frombuffer(r["found"], np.int32) for r in rows]
-    swaps = [(s[0].tolist(), s[1].tolist()) for r in rows for s in np.frombuffer(r["changed"], np.int32).reshape(-1, 2, PLACES) % (1 << bits)]
-    weights, bias = fit(found, np.array([float(r["toxic"] > 0) for r in rows]), swaps, bits=bits, penalty=penalty)
+    counts: Counter = Counter()
+    for r in rows:
+        for term, other, n in np.frombuffer(r["changed"], np.int32).reshape(-1, 3).tolist():
+            counts[term, other] += n
+    terms, pairs = list(_TERMS), sorted(counts)
+    swaps = [(features(terms[i], bits), features(terms[j], bits)) for i, j in pairs]
+    weights, bias = fit(found, np.array([float(r["toxic"] > 0) for r in rows]), swaps, bits=bits, penalty=penalty, times=np.array([counts[x] for x in pairs], float))
     del rows, found
     B.relax()
     return Scorer(weights.astype(np.float32), bias, bits)

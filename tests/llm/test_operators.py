@@ -376,6 +376,18 @@ def test_swap_penalty():
     assert gap(held) < 0.2 * gap(free)
 
 
+def test_swaps_of_long_texts(spark, monkeypatch):
+    """Terms that come late in a long text are swapped like the first ones, and count as often as they occur."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels, swaps, **how: seen.update(swaps=swaps, times=how["times"]) or (np.zeros(1 << toxicity.BITS), 0.0))
+    texts = spark.createDataFrame([(0, "These women are here. " * 50 + "Those deaf people too."), (1, "The men and women sing.")], "doc_id long, text string")
+    assert not any(zlib.crc32(str(d).encode()) % 3 == 1 for d in (0, 1))
+    toxicity.train(texts, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"))
+    times = {(tuple(a), tuple(b)): n for (a, b), n in zip(seen["swaps"], seen["times"], strict=True)}
+    f = lambda a, b: (tuple(toxicity.features(a)), tuple(toxicity.features(b)))
+    assert times[f("women", "men")] == 50 and times[f("women", "girls")] == 51 and times[f("men", "girls")] == 1 and times[f("deaf", "blind")] == 1
+
+
 def test_decontamination(spark, docs, none):
     question = "the train to Boston leaves at 7 and goes 60 km before the driver Alice stops near the old mill where Alice buys 3 apples"
     bench = spark.createDataFrame([(1, question), (2, "too short"), (3, None), (None, question), (4, SHARED)], "item_id long, text string")
