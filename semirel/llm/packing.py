@@ -6,7 +6,8 @@ length is covered) is solved by multiplicative weights: a length's price falls a
 gets covered, a knapsack dynamic program finds the dearest pattern, and that pattern
 is added. The fractional solution is rounded down; what is left over is packed by
 patterns again, the longest piece first and the best fill of the rest by a subset-sum
-program. Pieces then find their places by their rank within their length.
+program. Few sequences are stepped through one by one, as smaller steps would round to
+nothing. Pieces then find their places by their rank within their length.
 """
 
 from __future__ import annotations
@@ -154,21 +155,20 @@ def configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS)
         demand[k] = v
     bins = float(demand @ np.arange(capacity + 1)) / capacity
     fractional: Counter = Counter()
-    if bins > rounds:
-        covered, some = np.zeros(capacity + 1), demand > 0
-        size = np.arange(capacity + 1) / capacity
-        for _ in range(MAX_ROUNDS):
-            share = np.divide(covered, demand, out=np.ones(capacity + 1), where=some)
-            open_ = some & (demand - covered > 1e-9)
-            if not open_.any():
-                break
-            mean = float((share * demand * size)[some].sum() / (demand * size)[some].sum())
-            prices = np.where(open_, size * np.exp(-RATE * (share - mean)), -np.inf)
-            pattern = knapsack(prices, capacity)
-            step = min([bins / rounds, *((demand[k] - covered[k]) / n for k, n in pattern.items())])
-            for k, n in pattern.items():
-                covered[k] += step * n
-            fractional[tuple(sorted(pattern.items(), reverse=True))] += step
+    covered, some = np.zeros(capacity + 1), demand > 0
+    size = np.arange(capacity + 1) / capacity
+    for _ in range(MAX_ROUNDS):
+        share = np.divide(covered, demand, out=np.ones(capacity + 1), where=some)
+        open_ = some & (demand - covered > 1e-9)
+        if not open_.any():
+            break
+        mean = float((share * demand * size)[some].sum() / (demand * size)[some].sum())
+        prices = np.where(open_, size * np.exp(-RATE * (share - mean)), -np.inf)
+        pattern = knapsack(prices, capacity)
+        step = min([max(bins / rounds, 1.0), *((demand[k] - covered[k]) / n for k, n in pattern.items())])
+        for k, n in pattern.items():
+            covered[k] += step * n
+        fractional[tuple(sorted(pattern.items(), reverse=True))] += step
     for pattern, x in fractional.most_common():
         times = min([int(x + 1e-9), *(left[k] // n for k, n in pattern)])
         if times:

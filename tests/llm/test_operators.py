@@ -309,6 +309,22 @@ def test_configurations(n):
     assert sum(m for _, m in plan) <= least * 1.002 + 2
 
 
+@pytest.mark.parametrize("n", [30, 300, 700])
+def test_few_configurations_use_the_program(monkeypatch, n):
+    """Small inputs are packed by the linear program as well, not by the fill of what is left alone."""
+    rng, left = np.random.default_rng(n), []
+    counts = Counter(np.clip(np.exp(rng.normal(4, 1, n)).astype(int) + 1, 1, 255).tolist())
+    fill = packing.fill
+    monkeypatch.setattr(packing, "fill", lambda c, capacity: left.append(sum(c.values())) or fill(c, capacity))
+    plan, used = packing.configurations(dict(counts), 256), Counter()
+    for pattern, m in plan:
+        assert sum(k * v for k, v in pattern.items()) <= 256
+        for k, v in pattern.items():
+            used[k] += m * v
+    assert used == counts and left[0] < n
+    assert sum(m for _, m in plan) <= -(-sum(k * v for k, v in counts.items()) // 256) * 1.02 + 2
+
+
 def test_unigram_lm(docs, none):
     got = unigram_lm.score_documents(docs).collect()
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
