@@ -28,8 +28,8 @@ WIDTH, SIMILARITY, CLOSE, REACH, SHARD = 5, 0.8, 8, 14, 1 << 16
 #: Pairs for each member from which a group of candidates is dense; members of a block; pairs that a shard holds at once.
 DENSE, BLOCK, HELD_PAIRS = 4, 256, 1 << 21
 #: Texts from which the common order learns what is frequent, frequent shingles that it knows, and leading shingles that a
-#: bucket settles. These change what is compared at most, never what is found: any one order is exact.
-ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS = 1 << 13, 1 << 17, 1 << 19
+#: bucket settles, and pairs that it holds at once. These change what is compared at most, never what is found: any one order is exact.
+ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS, LEAD_PAIRS = 1 << 13, 1 << 17, 1 << 17, 1 << 18
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -268,7 +268,7 @@ def _across(key: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray
     begins = np.concatenate(([0], np.cumsum(run_end - label_end)))
     i = 0
     while i < len(key):
-        j = max(i + 1, int(np.searchsorted(begins, begins[i] + HELD_PAIRS, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + LEAD_PAIRS, side="right")) - 1)
         counts = (run_end - label_end)[i:j]
         a = np.repeat(np.arange(i, j), counts)
         b = np.arange(len(a)) - np.repeat(begins[i:j] - begins[i], counts) + np.repeat(label_end[i:j], counts)
@@ -286,7 +286,7 @@ def shared_leads(classes: DataFrame, *, similarity: float) -> DataFrame:
     n = classes.agg(F.coalesce(F.sum(F.length("leading")), F.lit(0))).first()[0] // 8 // BUCKET_KEYS + 1
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["leading"]]
             counts = [len(x) for x in sets]
             if not sum(counts):
