@@ -392,6 +392,48 @@ def test_swap_penalty():
     assert gap(held) < 0.2 * gap(free)
 
 
+def labelled_groups(n=400, slur=True):
+    """Toxic texts that mention one group, clean ones that mention another, and others without any."""
+    rng = random.Random(3)
+    word = lambda k: " ".join(f"word{rng.randrange(60)}" for _ in range(k))
+    texts, labels = [], []
+    for i in range(n):
+        group = "muslims" if i < 50 else "christians" if i < 90 else "people"
+        texts.append(f"{word(10)}. {word(4)} {group} {word(4)}{' scoundrels' if slur and i % 400 < 50 or i >= 380 else ''}. {word(5)}")
+        labels.append(float(i < 50 or i >= 380))
+    return texts, np.array(labels)
+
+
+@pytest.mark.parametrize("slur", [True, False])
+def test_penalty_keeps_neutral_groups_neutral(slur):
+    """A group that only clean texts mention stays clean under the penalty, and mentions of the other one get cleaner."""
+    texts, labels = labelled_groups(slur=slur)
+    terms, places, mentions = list(toxicity._TERMS), {}, []
+    for x in texts:
+        for sentence, changes in toxicity._mentions(x):
+            mentions += [(toxicity.text_features(sentence), places.setdefault(c, len(places)), 1) for c in changes]
+    swaps = [toxicity.swap_features(terms[a], terms[b], twice) for a, b, twice in places]
+    docs = [toxicity.text_features(x) for x in texts]
+    say_of = lambda penalty: (lambda s: {g: s(f"word1 word2 {g} word3") for g in ("christians", "muslims", "hindus", "people")})(toxicity.Scorer(*toxicity.fit(docs, labels, swaps, penalty=penalty, mentions=mentions)))
+    free, held = say_of(0.0), say_of(1.0)
+    assert held["christians"] < 0.02 and held["hindus"] <= max(free["hindus"], held["people"])
+    assert held["muslims"] < 0.5 * free["muslims"]
+    if slur:  # what is toxic is said by a word, which then carries it
+        assert held["christians"] <= free["christians"] + 0.005  # the bias alone moves it
+        assert held["muslims"] < 0.1
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Rows that repeat a labelled id count once for the fit, and each is scored."""
+    texts, labels = labelled_groups()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    once = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark.createDataFrame(rows, schema), marks).collect()}
+    twice = toxicity.toxicity(spark.createDataFrame(rows * 3, schema).repartition(4), marks).collect()
+    assert len(twice) == 3 * len(rows) and all(abs(once[r["doc_id"]] - r["score"]) < 1e-6 for r in twice)
+
+
 def test_swaps_of_long_texts(spark, monkeypatch):
     """Terms that come late in a long text are swapped like the first ones, and count as often as they occur."""
     seen = {}
