@@ -37,10 +37,13 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir counts; only where it is unset is a temporary folder named."""
+    """The cluster's spark.checkpoint.dir counts. Only a local master, whose tasks see the driver's folders, may do without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -76,6 +79,17 @@ def texts_of(table: pa.Table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in table.column(name).to_pylist()]
 
 
+def looked_up(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """Inner join of ``rows`` (saved, so that its partitions stay as they are) with ``known``, which has one row for each key.
+
+    Each partition asks once for each of its keys and then meets the answers by itself: a key that a third of all rows
+    share costs one row for each partition in the join, and its rows stay dealt over as many tasks as they were.
+    """
+    own = rows.withColumn("_part", F.spark_partition_id())
+    asked = own.select("_part", *keys).distinct()
+    return own.join(asked.join(known, keys), ["_part", *keys]).drop("_part")
+
+
 # --- memory of Python workers ---------------------------------------------------
 
 try:

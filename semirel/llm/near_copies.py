@@ -1,13 +1,13 @@
 """Near copies by word shingles: SimHash candidates, then the exact Jaccard similarity.
 
-Exact copies (equal words) form one class and are compared once. Classes are dealt by
-their number of shingles, as similar sets are of similar size, and by the leaves of a
-vantage-point tree over their fingerprints (``simhash``). A first round verifies one
-spanning forest of close fingerprints; a second one verifies every candidate that still
-lies between two groups. Where these are dense, no pairs are emitted: their members go
-in blocks to tasks that compare whole blocks of sets at once. A last round leaves nothing
-to the fingerprints: sets of the similarity share a shingle of their first few in any
-common order, so all classes of different groups that share one are verified too.
+Exact copies (equal words) form one class and are compared once. Classes whose fingerprints
+a vantage-point tree (``simhash``) finds within a few bits, where it still prunes, are compared first:
+each with the first one of its star, so that a group of copies gives no more pairs than members.
+Then nothing is left to the fingerprints. Sets of the similarity share a shingle of their first
+few in any common order (rare ones first here). Of the classes that hold such a shingle each is
+compared with one leader, and what then still stands in different groups is compared with all
+others of it that may have the similarity. Sizes, places in the order and a small signature of each set, all exact
+bounds, rule out most pairs before a set is read.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from semirel.llm import blocks as B
 from semirel.llm import simhash as S
 from semirel.llm.decontamination import bounded
 
-WIDTH, SIMILARITY, CLOSE, REACH, SHARD = 5, 0.8, 8, 14, 1 << 16
-#: Pairs for each member from which a group of candidates is dense; members of a block; pairs that a shard holds at once.
-DENSE, BLOCK, HELD_PAIRS = 4, 256, 1 << 21
+WIDTH, SIMILARITY, CLOSE = 5, 0.8, 3
 #: Texts from which the common order learns what is frequent, frequent shingles that it knows, and leading shingles that a
 #: bucket settles, and pairs that it holds at once. These change what is compared at most, never what is found: any one order is exact.
-ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS, LEAD_PAIRS = 1 << 13, 1 << 17, 1 << 17, 1 << 18
+ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS, LEAD_PAIRS = 1 << 13, 1 << 17, 1 << 17, 1 << 17
+#: Numbers of a signature: how many shingles of the set fall to each place (255 at most).
+SIGNATURE = 32
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -61,8 +61,13 @@ def leading(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
     return found[np.argsort(np.where(keys[at] == found, times[at], 0), kind="stable")[:n]]
 
 
+def signature(found: np.ndarray) -> bytes:
+    """The differences of two signatures add up to no more than the sets differ by."""
+    return np.minimum(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes()
+
+
 def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``doc_id, text_hash, words_hash (two longs), fp, size, leading`` for each row; ``fp`` is that of the distinct shingles."""
+    """``doc_id, text_hash, words_hash (two longs), fp, size, leading, signature`` for each row; ``fp`` is that of the distinct shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # at most ORDER_KEYS keys, whatever the corpus
 
     def each(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -71,267 +76,171 @@ def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             text = text or b""
             found = shingle_set(text, width)
             d = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(text.lower().split())), "<i8")
-            out.append((int(d[0]), int(d[1]), int(np.uint64(S.majority(found)).view(np.int64)), len(found), leading(found, shared.value, similarity).tobytes()))
-        *numbers, keys = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in numbers), pa.array(keys, pa.binary())], names=["doc_id", "text_hash", "h1", "h2", "fp", "size", "leading"])
+            out.append((int(d[0]), int(d[1]), int(np.uint64(S.majority(found)).view(np.int64)), len(found), leading(found, shared.value, similarity).tobytes(), signature(found)))
+        *numbers, keys, marks = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *(pa.array(c, pa.int64()) for c in numbers), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "text_hash", "h1", "h2", "fp", "size", "leading", "signature"])
 
     rows = B.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return B.map_rows(rows, each, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long, leading binary")
-
-
-def _pairs(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of candidate pairs with different labels, a block at a time: the home ones against all."""
-    for i in range(0, n_home, 512):
-        h = slice(i, min(i + 512, n_home))
-        for j in range(i, len(x), 4096):
-            v = slice(j, j + 4096)
-            near = np.bitwise_count(x[h, None] ^ x[None, v]) <= reach
-            a, b = np.nonzero(near)
-            if not len(a):
-                continue
-            a, b = a + i, b + j
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            keep = (a < b) & (label[a] != label[b]) & (small >= similarity * large)
-            if keep.any():
-                yield a[keep], b[keep]
+    return B.map_rows(rows, each, "doc_id long, text_hash long, h1 long, h2 long, fp long, size long, leading binary, signature binary")
 
 
-def _spanning(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs that unite all labels which any candidates connect, one fewer than the labels at most."""
-    parent: dict[int, int] = {}
+# --- pairs that share a leading shingle -------------------------------------------
 
-    def root(k: int) -> int:
-        while (up := parent.get(k, k)) != k:
-            parent[k] = parent.get(up, up)
-            k = up
-        return k
 
-    live, out = label.copy(), []
-    for a, b in _pairs(x, size, live, n_home, reach, similarity):
-        differ = np.flatnonzero(live[a] != live[b])
-        if not len(differ):
-            continue
-        _, lead = np.unique(np.stack([live[a[differ]], live[b[differ]]]), axis=1, return_index=True)
-        keep = []
-        for i in differ[lead].tolist():
-            ra, rb = root(int(label[a[i]])), root(int(label[b[i]]))
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                keep.append(i)
-        if keep:
-            names, at = np.unique(live, return_inverse=True)
-            live[:] = np.array([root(int(k)) for k in names])[at]
-            out.append((a[keep], b[keep]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-
-
-def _sparse(x: np.ndarray, size: np.ndarray, label: np.ndarray, n_home: int, reach: int, similarity: float, dense: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All candidate pairs but those of dense components, whose members are appended to ``dense``."""
-    parent, degree, held, total = np.arange(len(x)), np.zeros(len(x), np.int64), [], 0
-    for a, b in _pairs(x, size, label, n_home, reach, similarity):
-        degree += np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
-        total += len(a)
-        held = [*held, (a, b)] if total <= HELD_PAIRS else []
-        while len(a):
-            ra, rb = parent[a], parent[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            parent = S._roots(parent)
-    members = np.bincount(parent, minlength=len(x))
-    crowded = np.bincount(parent, degree, minlength=len(x)) > 2 * DENSE * np.maximum(members, BLOCK // 16)
-    for r in np.flatnonzero(crowded):
-        dense.append(np.flatnonzero(parent == r))
-    source = held if total <= HELD_PAIRS else _pairs(x, size, label, n_home, reach, similarity)
-    return [(a[keep], b[keep]) for a, b in source if (keep := ~crowded[parent[a]]).any()]
-
-
-def _compare_all(table: pa.Table, similarity: float) -> pa.Table:
-    """Links that unite whatever is similar among the members of a task."""
-    cls, label = (table.column(c).to_numpy() for c in ("a", "b"))
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
-    sizes = np.array([len(s) for s in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row, width = np.repeat(np.arange(len(sets)), sizes), int(column.max()) + 1
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for i in range(0, width, 4096):
-        part = np.zeros((len(sets), min(4096, width - i)), np.float32)
-        mine = (column >= i) & (column < i + 4096)
-        part[row[mine], column[mine] - i] = 1
-        both += part @ part.T
-    a, b = np.nonzero(np.triu(both >= similarity * (sizes[:, None] + sizes[None] - both), 1))
-    parent = {int(k): int(k) for k in label}
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    keep = []
-    for i, (ra, rb) in enumerate(zip(label[a].tolist(), label[b].tolist(), strict=True)):
-        ra, rb = root(ra), root(rb)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            keep.append(i)
-    return pa.table({"a": cls[a[keep]], "b": cls[b[keep]]})
-
-
-def candidates(classes: DataFrame, total: int, *, reach: int, similarity: float, forest: bool) -> DataFrame:
-    """``a, b`` of classes whose fingerprints are within ``reach``, whose sizes allow the similarity and whose ``label`` differs.
-    With ``forest`` only what connects them: of pairs within one shard a spanning forest. Else rows with a ``task`` are
-    members ``a`` with their label ``b``, of which the task is to compare all."""
-    leaves = max(1, -(-total // SHARD))
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(S.MAX_SAMPLE, S.SAMPLE_PER_LEAF * leaves)).collect()], np.int64).view(np.uint64)
-    tree = S.build_tree(sample, leaves)
-    step = -np.log(similarity)
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, size, cls, label = (b[c].to_numpy() for c in ("fp", "size", "cls", "label"))
-            band = np.floor(np.log(np.maximum(size, 1)) / step + 1e-9).astype(np.int64)
-            out = []
-            for k in np.unique(band).tolist():
-                mine = np.flatnonzero(band == k)
-                for leaf, home, visitors in _route(x[mine].view(np.uint64), tree, reach):
-                    out.append((k * (1 << 20) + leaf, True, mine[home]))
-                    out.append((k * (1 << 20) + leaf, False, mine[visitors]))
-                    out.append(((k + 1) * (1 << 20) + leaf, False, mine[home]))
-                for leaf, home, visitors in _route(x[mine].view(np.uint64), tree, reach, every=True):
-                    out.append(((k + 1) * (1 << 20) + leaf, False, mine[visitors]))
-            out = [(k, h, B.dump(x[i], size[i], cls[i], label[i])) for k, h, i in out if len(i)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in out], pa.int64()), pa.array([h for _, h, _ in out], pa.bool_()), pa.array([d for _, _, d in out], pa.binary())], names=["shard", "home", "data"])
-
-    def find(table: pa.Table) -> pa.Table:
-        homes = table.column("home").to_pylist()
-        held = [B.load(d, "i8", "i8", "i8", "i8") for h, d in zip(homes, table.column("data").to_pylist(), strict=True) if h]
-        come = [B.load(d, "i8", "i8", "i8", "i8") for h, d in zip(homes, table.column("data").to_pylist(), strict=True) if not h]
-        n_home = sum(len(h[0]) for h in held)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        if n_home:
-            fp, size, cls, label = (np.concatenate([p[i] for p in (*held, *come)]) for i in range(4))
-            order = np.concatenate([np.argsort(cls[:n_home], kind="stable"), n_home + np.argsort(cls[n_home:], kind="stable")])
-            x, size, cls, label = fp[order].view(np.uint64), size[order], cls[order], label[order]
-            if forest:
-                a, b = _spanning(x, size, label, n_home, reach, similarity)
-                out.append((cls[a], cls[b], np.zeros(len(a), np.int64)))
-            else:
-                shard = table.column("shard")[0].as_py()
-                dense: list[np.ndarray] = []
-                for a, b in _sparse(x, size, label, n_home, reach, similarity, dense):
-                    out.append((cls[a], cls[b], np.zeros(len(a), np.int64)))
-                for members in dense:
-                    blocks = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
-                    for i in range(len(blocks)):
-                        for j in range(i + (len(blocks) > 1), len(blocks)):
-                            both = blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])
-                            task = xxhash.xxh64_intdigest(f"{shard}:{cls[members[0]]}:{i}:{j}") >> 2 | 1
-                            out.append((cls[both], label[both], np.full(len(both), task)))
-        a, b, task = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        B.relax()
-        low, high = np.where(task == 0, np.minimum(a, b), a), np.where(task == 0, np.maximum(a, b), b)
-        return pa.table({"a": low, "b": high, "task": task})
-
-    dealt = classes.select("fp", "size", "cls", "label").mapInArrow(deal, "shard long, home boolean, data binary")
-    return dealt.groupBy("shard").applyInArrow(find, "a long, b long, task long").distinct()
+def _later(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place (ordered by key, then label) where its label ends and where its key ends."""
+    new = np.append(np.diff(key) != 0, True)
+    change = new | np.append(np.diff(label) != 0, True)
+    ends = (np.flatnonzero(x) for x in (change, new))
+    return tuple(e[np.searchsorted(e, np.arange(len(key)))] + 1 for e in ends)
 
 
-def _route(fps: np.ndarray, tree: list[tuple[int, int]], reach: int, every: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """As ``simhash.route`` but with places; with ``every`` the visitors also go to leaves before their own."""
-    todo = [(0, np.arange(len(fps)), np.ones(len(fps), bool))]
-    while todo:
-        node, at, home = todo.pop()
-        if not len(at):
-            continue
-        if node >= len(tree):
-            yield node - len(tree), at[home], at[~home]
-            continue
-        point, radius = tree[node]
-        d = S._distance(fps[at], point)
-        inside = d <= radius
-        near_left, near_right = d - reach <= radius, d + reach > radius
-        left = inside | (near_left & (every | ~home))
-        right = ~inside | near_right
-        todo.append((2 * node + 1, at[left], (home & inside)[left]))
-        todo.append((2 * node + 2, at[right], (home & ~inside)[right]))
+def _possible(a: np.ndarray, b: np.ndarray, size: np.ndarray, at: np.ndarray, marks: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Which pairs of places may have the similarity: sets that do are of like size, share at least a part of the sum of their sizes and differ by no more than the rest."""
+    total = size[a] + size[b]
+    # at their first common shingle no more than the shorter rest can be common
+    keep = np.minimum(size[a] - at[a], size[b] - at[b]) >= similarity / (1 + similarity) * total - 1e-6
+    keep &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+    if marks is not None:
+        some = np.flatnonzero(keep)
+        apart = np.abs(marks[a[some]].astype(np.int16) - marks[b[some]]).sum(axis=1)
+        keep[some] = apart <= (1 - similarity) / (1 + similarity) * total[some] + 1e-6
+    return keep
 
 
-def _across(key: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _across(key: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float, marks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs that share a key (ordered by key, then label) under different labels and may have the similarity, some at a time."""
     if not len(key):
         return
-    new = np.append(np.diff(key) != 0, True)
-    change = new | np.append(np.diff(label) != 0, True)
-    run_end, label_end = (np.flatnonzero(x)[np.searchsorted(np.flatnonzero(x), np.arange(len(key)))] + 1 for x in (new, change))
+    label_end, run_end = _later(key, label)
     begins = np.concatenate(([0], np.cumsum(run_end - label_end)))
-    i = 0
-    while i < len(key):
+    i, n = 0, len(key)
+    while i < n:
+        # as many whole rows as LEAD_PAIRS allows, or a part of one row
         j = max(i + 1, int(np.searchsorted(begins, begins[i] + LEAD_PAIRS, side="right")) - 1)
         counts = (run_end - label_end)[i:j]
-        a = np.repeat(np.arange(i, j), counts)
-        b = np.arange(len(a)) - np.repeat(begins[i:j] - begins[i], counts) + np.repeat(label_end[i:j], counts)
-        total = size[a] + size[b]
-        # at their first common shingle no more than the shorter rest can be common
-        keep = np.minimum(size[a] - at[a], size[b] - at[b]) >= similarity / (1 + similarity) * total - 1e-6
-        keep &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
-        if keep.any():
-            yield a[keep], b[keep]
+        total = int(counts.sum())
+        for lo in range(0, total, LEAD_PAIRS):
+            k = np.arange(lo, min(total, lo + LEAD_PAIRS))
+            row = np.searchsorted(begins[i : j + 1] - begins[i], k, side="right") - 1
+            a, b = i + row, label_end[i + row] + k - (begins[i + row] - begins[i])
+            keep = _possible(a, b, size, at, marks, similarity)
+            if keep.any():
+                yield a[keep], b[keep]
         i = j
 
 
-def shared_leads(classes: DataFrame, *, similarity: float) -> DataFrame:
-    """``a, b, task`` (0) of all classes with different ``label`` that share one of their ``leading`` shingles and may have the similarity."""
-    n = classes.agg(F.coalesce(F.sum(F.length("leading")), F.lit(0))).first()[0] // 8 // BUCKET_KEYS + 1
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["leading"]]
-            counts = [len(x) for x in sets]
-            if not sum(counts):
-                continue
-            key, at = np.concatenate(sets), np.concatenate([np.arange(k, dtype=np.int32) for k in counts])
-            of = np.repeat(np.arange(len(sets), dtype=np.int32), counts)
-            order = np.argsort(key)
-            key, of, at, out = key[order], of[order], at[order], []
+def _with_leaders(key: np.ndarray, cls: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each class and its key's leader, the one of the smallest hash, which is mostly the same for the keys of one group."""
+    with np.errstate(over="ignore"):
+        order = np.lexsort((cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), key))
+    first = np.ones(len(key), bool)
+    first[1:] = np.diff(key[order]) != 0
+    lead = np.empty(len(key), np.int64)
+    lead[order] = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    a = np.flatnonzero(label != label[lead])
+    keep = _possible(a, lead[a], size, at, marks, similarity)
+    return a[keep], lead[a[keep]]
+
+
+def shared_leads(classes: DataFrame, *, similarity: float, leaders: bool) -> DataFrame:
+    """``a, b`` of classes with different ``label`` that share one of their ``leading`` shingles and may have the similarity:
+    with ``leaders`` each class with one other of each shingle, else all.
+
+    Blocks first ask which of their shingles classes of other labels hold; only those shingles then travel with what is known of their classes.
+    """
+    blocks = B.make_blocks(classes.select("cls", "size", "label", "leading", "signature"))
+    keys = classes.agg(F.coalesce(F.sum(F.length("leading")), F.lit(0))).first()[0] // 8
+    n = max(1, keys // BUCKET_KEYS)
+
+    def held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The block's leading shingles, ascending, each with its class's place and its own place in the class's order."""
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("leading")]
+        key = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(key, kind="stable")
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        at = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in sets)])
+        return key[order], of[order], at[order]
+
+    def ask(_: int, table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        key, of, _ = held(table)
+        label = table.column("label").to_numpy()[of]
+        new = np.ones(len(key), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(label) != 0)
+        key, label = key[new], label[new]
+        bounds = B.bucket_bounds(key, n)
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            part = slice(bounds[k], bounds[k + 1])
+            yield k, B.dump(B.gaps(key[part]), label[part])
+
+    def several(_: int, which: list[int], payloads: list[bytes]) -> list[tuple[int, bytes]]:
+        asked = [B.load(x, "u8", "i8") for x in payloads]
+        own = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        key, label = np.concatenate(own), np.concatenate([a[1] for a in asked])
+        order = np.argsort(key, kind="stable")
+        key, label = key[order], label[order]
+        first = np.ones(len(key), bool)
+        first[1:] = np.diff(key) != 0
+        begins = np.flatnonzero(first)
+        mixed = key[begins[np.minimum.reduceat(label, begins) != np.maximum.reduceat(label, begins)]] if len(key) else key
+        out = []
+        for block, x in zip(which, own, strict=True):
+            mine = np.intersect1d(x, mixed)
+            if len(mine):
+                out.append((block, B.dump(B.gaps(mine))))
+        return out
+
+    def finish(_: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
+        out = []
+        if got:
+            key, of, at = held(table)
+            wanted = np.sort(np.concatenate([np.cumsum(B.load(x, "u8")[0], dtype=np.uint64) for x in got.values()]))
+            mine = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+            key, of, at = key[mine], of[mine], at[mine]
             bounds = B.bucket_bounds(key, n)
+            numbers = [table.column(c).to_numpy() for c in ("cls", "size", "label")]
+            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
             for k in np.flatnonzero(np.diff(bounds)).tolist():
                 part = slice(bounds[k], bounds[k + 1])
-                held, mine = np.unique(of[part], return_inverse=True)
-                out.append((k, B.dump(B.gaps(key[part]), mine.astype(np.int32), at[part], *(b[c].to_numpy()[held] for c in ("cls", "size", "label")))))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["bucket", "data"])
+                some, place = np.unique(of[part], return_inverse=True)
+                out.append((k, B.dump(B.gaps(key[part]), place.astype(np.int32), at[part], *(x[some] for x in numbers), marks[some])))
+        return pa.table({"bucket": pa.array([k for k, _ in out], pa.int32()), "data": pa.array([d for _, d in out], pa.binary())})
 
-    def find(table: pa.Table) -> pa.Table:
-        parts = [B.load(d, "u8", "i4", "i4", "i8", "i8", "i8") for d in table.column("data").to_pylist()]
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [B.load(d.as_buffer(), "u8", "i4", "i4", "i8", "i8", "i8", "u1") for b in batches for d in b["data"]]
         key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         at = np.concatenate([p[2] for p in parts])
         cls, size, label = (np.concatenate([p[c][p[1]] for p in parts]) for c in (3, 4, 5))
+        shift = np.cumsum([0, *(len(p[3]) for p in parts)])
+        marks, place = np.concatenate([p[6].reshape(-1, SIGNATURE) for p in parts]), np.concatenate([p[1] + d for p, d in zip(parts, shift, strict=False)])
         order = np.lexsort((cls, label, key))
-        key, at, cls, size, label = (x[order] for x in (key, at, cls, size, label))
-        out = np.zeros((0, 2), np.int64)
-        for a, b in _across(key, size, label, at, similarity):
-            pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
-            out = np.unique(np.concatenate([out, pairs]), axis=0)
+        key, at, cls, size, label, place = (x[order] for x in (key, at, cls, size, label, place))
+        marks = marks[place]
+        found = [_with_leaders(key, cls, size, label, at, similarity, marks)] if leaders else _across(key, size, label, at, similarity, marks)
+        for a, b in found:
+            pairs = np.unique(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
         B.relax()
-        return pa.table({"a": out[:, 0], "b": out[:, 1], "task": np.zeros(len(out), np.int64)})
 
-    dealt = classes.select("cls", "size", "label", "leading").mapInArrow(deal, "bucket int, data binary")
-    return dealt.groupBy("bucket").applyInArrow(find, "a long, b long, task long").distinct()
+    dealt = B.settle(blocks, B.resolve(B.emit(blocks, ask), several), finish, "bucket int, data binary")
+    return dealt.groupBy("bucket").applyInArrow(find, "a long, b long").distinct()
+
+
+# --- verification -------------------------------------------------------------------
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """``a, b`` whose shingle sets have at least the similarity; only the documents of these classes are read again."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.where("task = 0").select("b")).distinct()
-    wanted = B.saved(classes.join(ends, "cls").select("cls", "first", "text_hash"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = B.saved(classes.join(ends, "cls").select("cls", F.col("first").alias("doc_id"), "text_hash"))
 
     def sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["cls"], pa.array([shingle_set(x or b"", width).tobytes() for x in b["text"].to_pylist()], pa.binary())], names=["cls", "set"])
 
     rows = B.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    own = rows.join(bounded(wanted.select(F.col("first").alias("doc_id"), "text_hash", "cls")), ["doc_id", "text_hash"])
+    own = rows.join(bounded(wanted), ["doc_id", "text_hash"])
     own = B.saved(B.map_rows(own.select("cls", "text"), sets, "cls long, set binary").dropDuplicates(["cls"]))
-    both = pairs.where("task = 0").join(own.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(own.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
 
     def similar(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -341,43 +250,55 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             keep.append(both >= similarity * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = B.map_rows(both.select("a", "b", "x", "y"), similar, "a long, b long")
-    tasks = pairs.where("task <> 0").join(own.select(F.col("cls").alias("a"), "set"), "a")
-    return links.union(tasks.groupBy("task").applyInArrow(lambda t: _compare_all(t, similarity), "a long, b long"))
+    return B.map_rows(both.select("a", "b", "x", "y"), similar, "a long, b long")
+
 
+def _close_pairs(usable: DataFrame, close: int) -> DataFrame:
+    """``a, b``: each class with the first of its fingerprint, and that one with the first of its star."""
+    of_fp = B.saved(usable.groupBy("fp").agg(F.min("cls").alias("first_cls")))
+    same = B.looked_up(usable.select("fp", "cls"), ["fp"], of_fp).select(F.col("first_cls").alias("a"), F.col("cls").alias("b"))
+    star = S.stars(of_fp.select("fp"), of_fp.count(), close)
+    led = star.join(of_fp, "fp").select("lead", F.col("first_cls").alias("b")).join(of_fp.select(F.col("fp").alias("lead"), F.col("first_cls").alias("a")), "lead").select("a", "b")
+    return same.union(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def near_copy_groups(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, close: int = CLOSE, reach: int = REACH) -> DataFrame:
+
+def near_copy_classes(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY, close: int = CLOSE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_hash, h1, h2`` for each row, and for each class ``h1, h2, first, text_hash, group_id``."""
+    sketches = B.saved(_sketches(docs, width, similarity))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    classes = sketches.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("r"), *(F.first(c).alias(c) for c in ("fp", "size", "leading", "signature")))
+    classes = B.saved(classes.select("h1", "h2", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash"), "fp", "size", "leading", "signature").withColumn("cls", F.monotonically_increasing_id()))
+    usable = B.saved(classes.where((F.col("size") > 0) & F.col("first").isNotNull()))
+    seen, links, labels = None, None, None
+    for find in (
+        lambda _: _close_pairs(usable, close),
+        lambda now: shared_leads(now, similarity=similarity, leaders=True),
+        lambda now: shared_leads(now, similarity=similarity, leaders=False),
+    ):
+        now = usable.withColumn("label", F.col("cls")) if labels is None else usable.join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls"))
+        pairs = find(now)
+        pairs = B.saved(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        seen = pairs if seen is None else seen.union(pairs)
+        if pairs.isEmpty():
+            continue
+        more = B.saved(_verified(pairs, classes, docs, width, similarity))
+        links = more if links is None else links.union(more)
+        labels = _labels(links)
+    whole = classes.withColumn("group_id", F.col("cls")) if labels is None else classes.join(labels, "cls", "left").withColumn("group_id", F.coalesce("root", "cls"))
+    return sketches.select("doc_id", "text_hash", "h1", "h2"), whole.select("h1", "h2", "first", "text_hash", "group_id")
+
+
+def near_copy_groups(docs: DataFrame, **how: float) -> DataFrame:
     """``doc_id, text_hash, group_id`` for each row: documents of one group are linked by Jaccard similarities of
-    ``width``-word shingle sets of at least ``similarity``, however far their fingerprints differ: ``close`` and ``reach``
-    only say which are compared first.
+    ``width``-word shingle sets of at least ``similarity``, however far their fingerprints differ: ``close`` only says
+    which are compared first.
 
     Null and empty texts are exact copies of each other. Texts of fewer than ``width``
     words are one shingle. Null ``doc_id``: only exact copies of it are found. Repeated
     rows are copies. Extra columns never matter. Empty table: no rows.
     """
-    sketches = B.saved(_sketches(docs, width, similarity))
-    classes = sketches.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("r"), F.first("fp").alias("fp"), F.first("size").alias("size"))
-    classes = B.saved(classes.select("h1", "h2", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash"), "fp", "size").withColumn("cls", F.monotonically_increasing_id()))
-    total = classes.count()
-    usable = classes.where((F.col("size") > 0) & F.col("first").isNotNull())
-    close_pairs = B.saved(candidates(usable.withColumn("label", F.col("cls")), total, reach=close, similarity=similarity, forest=True))
-    links = B.saved(_verified(close_pairs, classes, docs, width, similarity))
-    labels = _labels(links)
-    merged = usable if labels is None else usable.join(labels, "cls", "left")
-    merged = B.saved(merged.withColumn("label", F.coalesce("root", "cls") if labels is not None else F.col("cls")))
-    open_pairs = B.saved(candidates(merged, total, reach=reach, similarity=similarity, forest=False).join(close_pairs, ["a", "b", "task"], "left_anti"))
-    more = B.saved(_verified(open_pairs, classes, docs, width, similarity))
-    links = links.union(more)
-    labels = _labels(links)
-    leads = sketches.select("h1", "h2", "leading").dropDuplicates(["h1", "h2"])
-    merged = usable if labels is None else usable.join(labels, "cls", "left")
-    merged = merged.withColumn("label", F.coalesce("root", "cls") if labels is not None else F.col("cls")).join(leads, ["h1", "h2"])
-    seen = close_pairs.union(open_pairs)
-    far_pairs = B.saved(shared_leads(B.saved(merged.select("cls", "size", "label", "leading")), similarity=similarity).join(seen, ["a", "b", "task"], "left_anti"))
-    if not far_pairs.isEmpty():
-        labels = _labels(links.union(B.saved(_verified(far_pairs, classes, docs, width, similarity))))
-    grouped = classes.select("h1", "h2", "cls") if labels is None else classes.join(labels, "cls", "left").select("h1", "h2", F.coalesce("root", "cls").alias("cls"))
-    return sketches.join(grouped, ["h1", "h2"]).select("doc_id", "text_hash", F.col("cls").alias("group_id"))
+    rows, classes = near_copy_classes(docs, **how)
+    return B.looked_up(rows, ["h1", "h2"], classes.select("h1", "h2", "group_id")).select("doc_id", "text_hash", "group_id")
 
 
 def _labels(links: DataFrame) -> DataFrame | None:
@@ -387,15 +308,19 @@ def _labels(links: DataFrame) -> DataFrame | None:
 
 
 def drop_near_copies(docs: DataFrame, **how: float) -> DataFrame:
-    """One row of each group stays, that with the smallest ``doc_id`` (null last); rows keep their own columns."""
-    groups = B.saved(near_copy_groups(docs, **how))
-    order = lambda *c: F.struct(F.col("doc_id").isNull(), *c)
-    first = groups.groupBy("group_id").agg(F.min(order("doc_id", "text_hash")).alias("lead"))
-    gone = groups.join(first, "group_id").where(order("doc_id", "text_hash") != F.col("lead")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
-    gone = bounded(B.saved(gone))
+    """One row of each group of ``near_copy_groups`` stays, that with the smallest ``doc_id`` (null last; of its rows the
+    one of the smallest text hash); rows keep their own columns.
+
+    Only the first row of a class can stay, so the rows of a class that a third of all share never meet. Null and empty
+    texts are one group; repeated rows and null ids lose all rows but one of their group. Extra columns stay, whatever their names. Empty table: no rows.
+    """
+    each, classes = near_copy_classes(docs, **how)
+    order = F.struct(F.col("first").isNull(), "first", "text_hash")
+    stays = classes.groupBy("group_id").agg(F.min_by(F.struct("first", "text_hash"), order).alias("r")).select(F.col("r.first").alias("d"), F.col("r.text_hash").alias("t"))
+    stays = bounded(B.saved(stays))
     key, text = (f"c{docs.columns.index(x)}" for x in ("doc_id", "text"))
     rows = B.numbered(docs).withColumn("_hash", F.xxhash64(F.col(text).cast("string").cast("binary")))
-    kept = rows.join(gone, rows[key].cast("long").eqNullSafe(gone["d"]) & (rows["_hash"] == gone["t"]), "left_anti")
-    if not groups.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+    kept = rows.join(stays, rows[key].cast("long").eqNullSafe(stays["d"]) & (rows["_hash"] == stays["t"]), "left_semi")
+    if not each.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates([key, "_hash"])
     return kept.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))

@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _distance(x: np.ndarray, point: int) -> np.ndarray:
-    return np.bitwise_count(x ^ np.uint64(point)).astype(np.int8)
+    return np.bitwise_count(x ^ np.uint64(point)).astype(np.int16)
 
 
 def build_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int]]:
@@ -91,22 +91,55 @@ def build_tree(sample: np.ndarray, leaves: int) -> list[tuple[int, int]]:
     return nodes
 
 
+def homes(fps: np.ndarray, tree: list[tuple[int, int]]) -> np.ndarray:
+    """The leaf of each fingerprint."""
+    node = np.zeros(len(fps), np.int64)
+    points, radii = (np.array([t[i] for t in tree], np.uint64) for i in (0, 1))
+    while len(tree) and node[:1].size and node[0] < len(tree):  # all leaves lie equally deep
+        inside = np.bitwise_count(fps ^ points[node]) <= radii[node]
+        node = 2 * node + np.where(inside, 1, 2)
+    return node - len(tree)
+
+
+def _hosts(leaf: int, other: np.ndarray) -> np.ndarray:
+    """Whether pairs between ``leaf`` and each other leaf meet in ``leaf``: by a hash of the two, so that no leaf takes more than about half of its neighbours."""
+    low, high = np.minimum(leaf, other).astype(np.uint64), np.maximum(leaf, other).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (low * np.uint64(0x9E3779B97F4A7C15) ^ high) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(63)).astype(bool) == (other > leaf)
+
+
 def route(fps: np.ndarray, tree: list[tuple[int, int]], reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(leaf, fingerprints at home, visitors)``; a pair of two leaves meets in the later one."""
-    todo = [(0, fps, np.ones(len(fps), bool), np.zeros(len(fps), bool))]
+    """``(leaf, fingerprints at home, visitors)``; a pair of two leaves meets in one of them."""
+    own = homes(fps, tree)
+    todo = [(0, np.arange(len(fps)))]
     while todo:
-        node, x, home, late = todo.pop()
-        if not len(x):
+        node, at = todo.pop()
+        if not len(at):
             continue
         if node >= len(tree):
-            yield node - len(tree), x[home], x[~home]
+            leaf = node - len(tree)
+            home = own[at] == leaf
+            visits = ~home
+            visits[visits] = _hosts(leaf, own[at[visits]])
+            if home.any() or visits.any():
+                yield leaf, fps[at[home]], fps[at[visits]]
             continue
         point, radius = tree[node]
-        d = _distance(x, point)
-        inside = d <= radius
-        left, right = (home & inside) | (~home & (d - reach <= radius)), (home & ~inside) | (~home & (d + reach > radius)) | (home & inside & (d + reach > radius))
-        todo.append((2 * node + 1, x[left], home[left], late[left]))
-        todo.append((2 * node + 2, x[right], (home & ~inside)[right], late[right]))
+        d = _distance(fps[at], point)
+        todo.append((2 * node + 1, at[d - reach <= radius]))
+        todo.append((2 * node + 2, at[d + reach > radius]))
+
+
+def task_parts(sample: np.ndarray, tree: list[tuple[int, int]], reach: int, total: int, leaf_size: int) -> np.ndarray:
+    """Over how many tasks each leaf's visitors are spread, and each leaf's own, as the sample foretells: each task holds about ``leaf_size`` of
+    either. Leaves of a growing tree get more visitors, and so more tasks, but no larger ones."""
+    load = np.zeros((2, len(tree) + 1), np.int64)
+    for leaf, home, visitors in route(sample, tree, reach):
+        load[:, leaf] = len(home), len(visitors)
+    # what a thin sample does not show: a few more than seen, by the square root of a count
+    foretold = (load + np.sqrt(load) + 1) * (total / max(1, len(sample)))
+    return np.maximum(1, np.ceil(foretold / (2 * leaf_size))).astype(np.int64)
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -157,29 +190,55 @@ def linked(home: np.ndarray, visitors: np.ndarray, reach: int) -> tuple[np.ndarr
     return x, parent
 
 
-def stars(fps: DataFrame, total: int, reach: int) -> DataFrame:
-    """``fp, star`` for each fingerprint with a link; ``fps`` holds ``total`` distinct ones."""
-    leaves = max(1, -(-total // LEAF))
-    size = min(MAX_SAMPLE, SAMPLE_PER_LEAF * leaves)
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()], np.int64).view(np.uint64)
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def cells(fps: np.ndarray, tree: list[tuple[int, int]], reach: int, home_parts: np.ndarray, visitor_parts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(task, own fingerprints, those to compare them with besides)``: a leaf is a grid of its own parts by all parts, and two own parts meet once."""
+    firsts = np.concatenate(([0], np.cumsum(home_parts * (home_parts + visitor_parts))))
+    for leaf, home, visitors in route(fps, tree, reach):
+        h, v = int(home_parts[leaf]), int(visitor_parts[leaf])
+        at, of = _part(home, h), _part(visitors, v)
+        for i in range(h):
+            row, own = int(firsts[leaf]) + i * (h + v), home[at == i]
+            for j in range(i, h):
+                yield row + j, own, home[at == j] if i != j else home[:0]
+            for j in range(v):
+                come = visitors[of == j]
+                if len(own) or len(come):
+                    yield row + h + j, own, come
+
+
+def stars(fps: DataFrame, total: int, reach: int, leaf_size: int | None = None) -> DataFrame:
+    """``fp, star`` for each fingerprint with a link; ``fps`` holds ``total`` distinct ones.
+
+    A leaf is a grid of tasks: its own fingerprints in parts, and its visitors in parts; each cell compares one of
+    the own with one of either, so what a task holds stays bounded however many visitors come.
+    """
+    size = leaf_size or LEAF
+    leaves = max(1, -(-total // size))
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(min(MAX_SAMPLE, SAMPLE_PER_LEAF * leaves)).collect()], np.int64).view(np.uint64)
     tree = build_tree(sample, leaves)
+    home_parts, visitor_parts = task_parts(sample, tree, reach, total, size)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b["fp"].to_numpy().view(np.uint64) for b in batches]
-        out = [(k, B.dump(h, v)) for k, h, v in route(np.concatenate(got), tree, reach)] if got else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], names=["leaf", "data"])
+        out = [(k, B.dump(x, y)) for k, x, y in cells(np.concatenate(got), tree, reach, home_parts, visitor_parts)] if got else []
+        for i in range(0, len(out), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out[i : i + 1024]], pa.int64()), pa.array([d for _, d in out[i : i + 1024]], pa.binary())], names=["task", "data"])
 
     def find(table: pa.Table) -> pa.Table:
         parts = [B.load(d, "u8", "u8") for d in table.column("data").to_pylist()]
         home, visitors = (np.sort(np.concatenate([p[i] for p in parts])) for i in (0, 1))
         x, root = linked(home, visitors, reach)
-        sizes = np.bincount(root, minlength=len(x))
-        in_link = sizes[root] > 1
-        leaf = table.column("leaf")[0].as_py()
-        return pa.table({"fp": pa.array(x[in_link].view(np.int64)), "star": pa.array((leaf << 40) + root[in_link].astype(np.int64))})
+        in_link = np.bincount(root, minlength=len(x))[root] > 1
+        # a star is named by its first fingerprint and the task
+        task = table.column("task")[0].as_py()
+        return pa.table({"fp": pa.array(x[in_link].view(np.int64)), "star": pa.array((task << 32) + root[in_link].astype(np.int64)), "lead": pa.array(x[root[in_link]].view(np.int64))})
 
-    return fps.mapInArrow(deal, "leaf int, data binary").groupBy("leaf").applyInArrow(find, "fp long, star long")
+    return fps.mapInArrow(deal, "task long, data binary").groupBy("task").applyInArrow(find, "fp long, star long, lead long")
 
 
 # --- components --------------------------------------------------------------
@@ -209,19 +268,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, max_bits: int = 3) -> Da
 
     Null or empty text: fingerprint zero, linked like any other. Null ``doc_id``: the
     row has a component like others, whose id is the smallest id that is not null.
-    Repeated rows and ties share a fingerprint and so a component. Extra columns never
+    Repeated rows and ties share a fingerprint and so a component; a fingerprint that a third
+    of all rows share counts once for each partition. Extra columns never
     matter. Empty table: no rows.
     """
     by_doc = B.saved(fingerprints(docs, width))
     fps = B.saved(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    star = B.saved(stars(fps.select("fp"), fps.count(), max_bits))
-    shared = B.saved(star.groupBy("fp").agg(F.min("star").alias("u"), F.collect_set("star").alias("all")).where(F.size("all") > 1).select("u", F.explode("all").alias("v")).where("u <> v").distinct())
-    of_fp = star.groupBy("fp").agg(F.min("star").alias("star"))
-    if not shared.isEmpty():
-        joined = components(shared).select(F.col("node").alias("star"), "root")
-        of_fp = of_fp.join(joined, "star", "left").select("fp", F.coalesce("root", "star").alias("star"))
-    of_fp = B.saved(of_fp.join(fps, "fp"))
-    least = of_fp.groupBy("star").agg(F.min("first").alias("least"))
-    found = B.saved(of_fp.join(least, "star").select("fp", "least"))
-    known = fps.join(found, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return by_doc.join(known, "fp").select("doc_id", "fp", "component_id")
+    links = B.saved(stars(fps.select("fp"), fps.count(), max_bits).where("fp <> lead").select(F.col("lead").alias("u"), F.col("fp").alias("v")).distinct())
+    if links.isEmpty():
+        known = fps.select("fp", F.col("first").alias("component_id"))
+    else:
+        of_fp = B.saved(fps.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+        least = of_fp.groupBy("root").agg(F.min("first").alias("component_id"))
+        known = of_fp.join(least, "root").select("fp", "component_id")
+    return B.looked_up(by_doc, ["fp"], known).select("doc_id", "fp", "component_id")

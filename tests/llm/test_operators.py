@@ -197,11 +197,11 @@ def test_tree_links_are_whole():
     assert len(set(want)) == len(set(group.values()))
 
 
-@pytest.mark.parametrize("dense,shard,reach", [(4, 1 << 16, 64), (0, 2, 64), (4, 2, 24)])
-def test_near_copies(docs, none, monkeypatch, dense, shard, reach):
-    monkeypatch.setattr(near_copies, "SHARD", shard)
-    monkeypatch.setattr(near_copies, "DENSE", dense)
-    monkeypatch.setattr(near_copies, "BLOCK", 2)
+@pytest.mark.parametrize("pairs,bucket,close", [(1 << 17, 1 << 17, 3), (3, 8, 0), (3, 1 << 17, 24)])
+def test_near_copies(docs, none, monkeypatch, pairs, bucket, close):
+    monkeypatch.setattr(near_copies, "LEAD_PAIRS", pairs)
+    monkeypatch.setattr(near_copies, "BUCKET_KEYS", bucket)
+    monkeypatch.setattr(simhash, "LEAF", 3)
     sets = [set(near_copies.shingle_set((t or "").encode(), 5).tolist()) for _, t in TEXTS]
     same = [" ".join((t or "").lower().split()) for _, t in TEXTS]
     n = len(TEXTS)
@@ -218,9 +218,9 @@ def test_near_copies(docs, none, monkeypatch, dense, shard, reach):
             if same[i] == same[j] or (None not in (TEXTS[i][0], TEXTS[j][0]) and sets[i] and both >= 0.8 * len(sets[i] | sets[j])):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     groups = len({find(i) for i in range(n)})
-    got = near_copies.near_copy_groups(docs, reach=reach).collect()
+    got = near_copies.near_copy_groups(docs, close=close).collect()
     assert len(got) == n and len({r["group_id"] for r in got}) == groups
-    kept = near_copies.drop_near_copies(docs, reach=reach)
+    kept = near_copies.drop_near_copies(docs, close=close)
     assert kept.columns == docs.columns and kept.count() == groups
     assert near_copies.drop_near_copies(none).collect() == []
 
@@ -238,11 +238,34 @@ def test_near_copies_beyond_reach(spark):
     want = {(d, d + 1) for d, _ in rows[::2] if len(sets[d] & sets[d + 1]) >= 0.8 * len(sets[d] | sets[d + 1])}
     assert (1000, 1001) in want and len(want) == 301
     groups = defaultdict(set)
-    for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), close=0, reach=1).collect():
+    for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), close=0).collect():
         groups[r["group_id"]].add(r["doc_id"])
     assert {tuple(sorted(g)) for g in groups.values()} == want
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_no_task_takes_most_fingerprints(kind):
+    """With 64 leaves and more, no task holds over three times the mean of those at work, and none grows with the leaves; every close pair meets."""
+    rng = np.random.default_rng(5)
+    largest = []
+    for n in (1 << 14, 1 << 16):
+        fps = rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        if kind == "clustered":  # few bits differ from a few centres
+            fps = fps[rng.integers(0, 50, n)] ^ (fps & np.roll(fps, 1) & np.roll(fps, 2))
+        fps[: n // 100] = fps[-(n // 100) :] ^ np.uint64(0b1001)
+        fps = np.unique(fps)
+        size = 256
+        sample = rng.permutation(fps)[: simhash.SAMPLE_PER_LEAF * (-(-len(fps) // size))]
+        tree = simhash.build_tree(sample, -(-len(fps) // size))
+        parts = simhash.task_parts(sample, tree, 3, len(fps), size)
+        tasks = [(t, len(a) + len(b)) for t, a, b in simhash.cells(fps, tree, 3, *parts) if len(a)]
+        assert len({t for t, _ in tasks}) == len(tasks) and len(tree) >= 63
+        loads = np.array([k for _, k in tasks])
+        assert loads.max() <= 3 * loads.mean()
+        largest.append(int(loads.max()))
+    assert largest[1] <= 1.5 * largest[0] and largest[1] <= 6 * size
+
+
 @pytest.mark.parametrize("many", [0, 40])
 def test_leading_shingles_are_exact(many):
     """Sets at the similarity share a leading shingle and pass the filters, whatever is known to be frequent."""
