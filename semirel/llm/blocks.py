@@ -19,6 +19,7 @@ import ctypes
 import gc
 import struct
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -79,13 +80,23 @@ def texts_of(table: pa.Table, name: str = "text") -> list[bytes]:
     return [x or b"" for x in table.column(name).to_pylist()]
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """As ``saved``, for rows of plain numbers that later rounds join again and again: a written table has its true size, where
+    a checkpoint keeps what the plan before it was estimated at, which every join multiplies by itself."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def looked_up(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
-    """Inner join of ``rows`` (saved, so that its partitions stay as they are) with ``known``, which has one row for each key.
+    """Inner join of ``rows`` with ``known``, which has one row for each key.
 
     Each partition asks once for each of its keys and then meets the answers by itself: a key that a third of all rows
     share costs one row for each partition in the join, and its rows stay dealt over as many tasks as they were.
     """
-    own = rows.withColumn("_part", F.spark_partition_id())
+    own = tabled(rows.withColumn("_part", F.spark_partition_id()))
     asked = own.select("_part", *keys).distinct()
     return own.join(asked.join(known, keys), ["_part", *keys]).drop("_part")
 

@@ -29,7 +29,9 @@ WIDTH, SIMILARITY, CLOSE = 5, 0.8, 3
 #: bucket settles, and pairs that it holds at once. These change what is compared at most, never what is found: any one order is exact.
 ORDER_TEXTS, ORDER_KEYS, BUCKET_KEYS, LEAD_PAIRS = 1 << 13, 1 << 17, 1 << 17, 1 << 17
 #: Numbers of a signature: how many shingles of the set fall to each place (255 at most).
-SIGNATURE = 32
+SIGNATURE = 128
+#: Rounds with leaders at most, while they still find copies. More rounds leave fewer pairs to the last, exact one.
+LEADER_ROUNDS = 2
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def leading(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 
 def signature(found: np.ndarray) -> bytes:
     """The differences of two signatures add up to no more than the sets differ by."""
-    return np.minimum(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((found >> np.uint64(57)).astype(np.int64), minlength=SIGNATURE), 255).astype(np.uint8).tobytes()
 
 
 def _sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -130,10 +132,11 @@ def _across(key: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray
         i = j
 
 
-def _with_leaders(key: np.ndarray, cls: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _with_leaders(key: np.ndarray, cls: np.ndarray, size: np.ndarray, label: np.ndarray, at: np.ndarray, similarity: float, marks: np.ndarray | None = None, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Places of each class and its key's leader, the one of the smallest hash, which is mostly the same for the keys of one group."""
     with np.errstate(over="ignore"):
-        order = np.lexsort((cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), key))
+        mixed = (cls.astype(np.uint64) + np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.lexsort(((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93), key))
     first = np.ones(len(key), bool)
     first[1:] = np.diff(key[order]) != 0
     lead = np.empty(len(key), np.int64)
@@ -143,9 +146,9 @@ def _with_leaders(key: np.ndarray, cls: np.ndarray, size: np.ndarray, label: np.
     return a[keep], lead[a[keep]]
 
 
-def shared_leads(classes: DataFrame, *, similarity: float, leaders: bool) -> DataFrame:
+def shared_leads(classes: DataFrame, *, similarity: float, leaders: int | None) -> DataFrame:
     """``a, b`` of classes with different ``label`` that share one of their ``leading`` shingles and may have the similarity:
-    with ``leaders`` each class with one other of each shingle, else all.
+    with ``leaders`` each class with one other of each shingle, chosen anew for each number, else all.
 
     Blocks first ask which of their shingles classes of other labels hold; only those shingles then travel with what is known of their classes.
     """
@@ -216,7 +219,7 @@ def shared_leads(classes: DataFrame, *, similarity: float, leaders: bool) -> Dat
         order = np.lexsort((cls, label, key))
         key, at, cls, size, label, place = (x[order] for x in (key, at, cls, size, label, place))
         marks = marks[place]
-        found = [_with_leaders(key, cls, size, label, at, similarity, marks)] if leaders else _across(key, size, label, at, similarity, marks)
+        found = [_with_leaders(key, cls, size, label, at, similarity, marks, leaders)] if leaders is not None else _across(key, size, label, at, similarity, marks)
         for a, b in found:
             pairs = np.unique(np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -232,7 +235,7 @@ def shared_leads(classes: DataFrame, *, similarity: float, leaders: bool) -> Dat
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """``a, b`` whose shingle sets have at least the similarity; only the documents of these classes are read again."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = B.saved(classes.join(ends, "cls").select("cls", F.col("first").alias("doc_id"), "text_hash"))
+    wanted = B.tabled(classes.join(ends, "cls").select("cls", F.col("first").alias("doc_id"), "text_hash"))
 
     def sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["cls"], pa.array([shingle_set(x or b"", width).tobytes() for x in b["text"].to_pylist()], pa.binary())], names=["cls", "set"])
@@ -255,7 +258,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 def _close_pairs(usable: DataFrame, close: int) -> DataFrame:
     """``a, b``: each class with the first of its fingerprint, and that one with the first of its star."""
-    of_fp = B.saved(usable.groupBy("fp").agg(F.min("cls").alias("first_cls")))
+    of_fp = B.tabled(usable.groupBy("fp").agg(F.min("cls").alias("first_cls")))
     same = B.looked_up(usable.select("fp", "cls"), ["fp"], of_fp).select(F.col("first_cls").alias("a"), F.col("cls").alias("b"))
     star = S.stars(of_fp.select("fp"), of_fp.count(), close)
     led = star.join(of_fp, "fp").select("lead", F.col("first_cls").alias("b")).join(of_fp.select(F.col("fp").alias("lead"), F.col("first_cls").alias("a")), "lead").select("a", "b")
@@ -270,18 +273,19 @@ def near_copy_classes(docs: DataFrame, *, width: int = WIDTH, similarity: float
     classes = B.saved(classes.select("h1", "h2", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("text_hash"), "fp", "size", "leading", "signature").withColumn("cls", F.monotonically_increasing_id()))
     usable = B.saved(classes.where((F.col("size") > 0) & F.col("first").isNotNull()))
     seen, links, labels = None, None, None
-    for find in (
-        lambda _: _close_pairs(usable, close),
-        lambda now: shared_leads(now, similarity=similarity, leaders=True),
-        lambda now: shared_leads(now, similarity=similarity, leaders=False),
-    ):
+    found, rounds = 1, ["close", *range(LEADER_ROUNDS), "all"]
+    for turn in rounds:
+        if isinstance(turn, int) and turn and not found:
+            continue  # the leaders before united nothing
         now = usable.withColumn("label", F.col("cls")) if labels is None else usable.join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls"))
-        pairs = find(now)
-        pairs = B.saved(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        pairs = _close_pairs(usable, close) if turn == "close" else shared_leads(now, similarity=similarity, leaders=turn if isinstance(turn, int) else None)
+        pairs = B.tabled(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         seen = pairs if seen is None else seen.union(pairs)
         if pairs.isEmpty():
+            found = 0
             continue
-        more = B.saved(_verified(pairs, classes, docs, width, similarity))
+        more = B.tabled(_verified(pairs, classes, docs, width, similarity))
+        found = more.count()
         links = more if links is None else links.union(more)
         labels = _labels(links)
     whole = classes.withColumn("group_id", F.col("cls")) if labels is None else classes.join(labels, "cls", "left").withColumn("group_id", F.coalesce("root", "cls"))
@@ -317,7 +321,7 @@ def drop_near_copies(docs: DataFrame, **how: float) -> DataFrame:
     each, classes = near_copy_classes(docs, **how)
     order = F.struct(F.col("first").isNull(), "first", "text_hash")
     stays = classes.groupBy("group_id").agg(F.min_by(F.struct("first", "text_hash"), order).alias("r")).select(F.col("r.first").alias("d"), F.col("r.text_hash").alias("t"))
-    stays = bounded(B.saved(stays))
+    stays = bounded(B.tabled(stays))
     key, text = (f"c{docs.columns.index(x)}" for x in ("doc_id", "text"))
     rows = B.numbered(docs).withColumn("_hash", F.xxhash64(F.col(text).cast("string").cast("binary")))
     kept = rows.join(stays, rows[key].cast("long").eqNullSafe(stays["d"]) & (rows["_hash"] == stays["t"]), "left_semi")
