@@ -57,11 +57,11 @@ def _forms(rows: DataFrame, folded: bool, *keep: str | Column) -> DataFrame:
     return rows.select(*keep, F.posexplode(F.array(template(F.col("text")), template(F.lower("text")))).alias("form", "words"))
 
 
-def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
+def _windows(rows: DataFrame, key: tuple[str, ...], width: int) -> DataFrame:
     """``key, form, at, window`` for each window of ``words``."""
-    hashed = rows.select(key, "form", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= width)
+    hashed = rows.select(*key, "form", F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= width)
     each = F.transform(F.sequence(F.lit(0), F.size("h") - width), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(width))))
-    return hashed.select(key, "form", F.posexplode(each).alias("at", "window"))
+    return hashed.select(*key, "form", F.posexplode(each).alias("at", "window"))
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,7 +72,7 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def _occurrences(pairs: DataFrame, min_coverage: float) -> DataFrame:
     """``pairs`` with the places of one occurrence of the item in each row, of those that reach the coverage: all places
     of the document, those at one distance from the item's, and each stretch in which the item's places rise."""
-    key = ("doc_id", "item_id", "form", "item_windows")
+    key = ("doc_id", "row", "item_id", "form", "item_windows")
     order = Window.partitionBy(*key).orderBy("at", "item_at")
     each = pairs.select(*key, F.inline("places")).withColumn("back", (F.col("item_at") <= F.lag("item_at").over(order)).cast("int"))
     each = each.withColumn("stretch", F.coalesce(F.sum("back").over(order), F.lit(0)).cast("int"))
@@ -96,8 +96,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     occurrence of the item in the document by itself, and a pair is reported if any of them passes.
 
     Null or empty texts and texts under ``window`` words have no windows; null ids are
-    never reported. Rows that repeat a ``doc_id`` or ``item_id`` count as one document or
-    item. Extra columns never matter. Empty tables: no rows.
+    never reported. Rows of one ``doc_id`` are read apart and the best pair of them is reported
+    (most consistent values, then verbatim, then most windows, then most slots); rows that repeat an ``item_id`` count as
+    one item. Very long texts and repeats within them take time in proportion. Extra columns never matter. Empty tables: no rows.
     """
     pick = lambda df, key: B.numbered(df).select(F.col(f"c{df.columns.index(key)}").cast("long").alias(key), F.col(f"c{df.columns.index('text')}").cast("string").alias("text")).where(F.col(key).isNotNull())
     items, texts = pick(benchmark, "item_id"), pick(docs, "doc_id")
@@ -110,31 +111,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     item_windows = B.saved(usable.distinct())
     total = item_windows.groupBy("item_id", "form").agg(F.countDistinct("item_at").alias("item_windows"))
 
-    found = _windows(_forms(texts, folded, "doc_id"), "doc_id", window)
-    hits = found.join(bounded(item_windows), ["form", "window"]).select("doc_id", "item_id", "form", "at", "item_at")
-    pairs = hits.groupBy("doc_id", "item_id", "form").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
+    texts = texts.withColumn("row", F.xxhash64("text"))
+    found = _windows(_forms(texts, folded, "doc_id", "row"), ("doc_id", "row"), window)
+    hits = found.join(bounded(item_windows), ["form", "window"]).select("doc_id", "row", "item_id", "form", "at", "item_at")
+    pairs = hits.groupBy("doc_id", "row", "item_id", "form").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
     pairs = pairs.withColumn("matched", F.size(F.array_distinct(F.col("places.item_at"))))
     pairs = B.saved(pairs.join(total, ["item_id", "form"]).where(F.col("matched") >= min_coverage * F.col("item_windows")))
 
     if apart:
-        pairs = B.saved(_occurrences(pairs, min_coverage))
-
-    # slots: only the documents of a pair are read again
-    wanted = bounded(pairs.select("doc_id").distinct())
-    doc_raw = texts.join(wanted, "doc_id", "left_semi").select("doc_id", raw_words(F.col("text")).alias("doc_words"))
-    item_raw = _forms(items, folded, "item_id", raw_words(F.col("text")).alias("item_words"))
-    both = pairs.join(doc_raw, "doc_id").join(item_raw, ["item_id", "form"])
+        pairs = _occurrences(pairs, min_coverage)
+    pairs = B.saved(pairs.withColumn("place", F.monotonically_increasing_id()))
+
+    # slots: only the documents of a pair are read again; each slot's values are counted as rows, in proportion to the places
+    wanted = bounded(B.saved(pairs.select("doc_id", "row").distinct()))
+    doc_raw = texts.join(wanted, ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select("doc_id", "row", raw_words(F.col("text")).alias("doc_words"))
+    item_raw = _forms(items.distinct(), folded, "item_id", raw_words(F.col("text")).alias("item_words"))
+    both = pairs.join(doc_raw, ["doc_id", "row"]).join(item_raw, ["item_id", "form"])
     places = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct((p["item_at"] + k).alias("i"), (p["at"] + k).alias("d")))))
-    slots = F.filter(F.array_distinct(places), lambda p: _is_slot(F.get("words", p["i"])))
-    values = F.array_distinct(F.transform(slots, lambda p: F.struct(F.get("item_words", p["i"]).alias("i"), F.get("doc_words", p["d"]).alias("d"))))
-    both = both.withColumn("values", values).withColumn("asked", F.array_distinct(F.col("values.i")))
-    single = F.filter("asked", lambda v: F.size(F.filter("values", lambda p: p["i"] == v)) == 1)
-    out = both.select(
-        "doc_id", "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("coverage"), F.size("asked").alias("slots"), F.size(single).alias("consistent"),
-        F.forall("values", lambda p: p["i"] == p["d"]).alias("verbatim"),
+    slots = F.filter(places, lambda p: _is_slot(F.get("words", p["i"])))
+    values = F.transform(slots, lambda p: F.struct(F.get("item_words", p["i"]).alias("asked"), F.get("doc_words", p["d"]).alias("given")))
+    each = both.select("place", F.inline(values)).distinct()
+    each = each.groupBy("place", "asked").agg(F.count("*").alias("n"), F.bool_and(F.col("asked") == F.col("given")).alias("same"))
+    judged = each.groupBy("place").agg(F.count("*").cast("int").alias("slots"), F.count_if(F.col("n") == 1).cast("int").alias("consistent"), F.bool_and("same").alias("verbatim"))
+    none = lambda name, value: F.coalesce(name, F.lit(value)).alias(name)
+    out = pairs.join(judged, "place", "left").select(
+        "doc_id", "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("coverage"), none("slots", 0), none("consistent", 0), none("verbatim", True),
     )
     best = out.where(F.col("consistent") >= min_consistent * F.col("slots"))
-    return best.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("consistent", "verbatim")).alias(c) for c in ("matched", "item_windows", "coverage", "slots", "consistent", "verbatim")))
+    return best.groupBy("doc_id", "item_id").agg(*(F.max_by(c, F.struct("consistent", "verbatim", "matched", "slots")).alias(c) for c in ("matched", "item_windows", "coverage", "slots", "consistent", "verbatim")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:

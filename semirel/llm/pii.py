@@ -20,6 +20,7 @@ from semirel.llm.decontamination import bounded
 
 #: Documents (of different texts) that must hold term and entity together; the least share of the term's documents; the least information in bits.
 MIN_TEXTS, MIN_SHARE, MIN_BITS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 4, 0.5, 5.0, 120, 4, 3
+GROUP, CUT = 256, 128
 _MARK, _INSTEAD = "\uE003", "\u0002"
 #: The patterns by kind, in the order of the spans. A match begins where the last one ended or where
 #: nothing of its first class comes before, which are the only places a leftmost match can begin; possessive
@@ -54,15 +55,37 @@ def _test(kind: str) -> Callable[[Column], Column]:
     return lambda span: _passes(kind, span["value"])
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, which must be an array, with ``value`` computed once: a lambda over one element names it."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
 def _found(text: Column, pattern: Column | str, kind: int) -> Column:
-    """All matches as spans, by marking them and adding up the lengths of the pieces between the marks."""
+    """All matches as spans. They are marked, which cuts the text into pieces that lie by turns outside and inside a match.
+    Spans are placed within groups of ``GROUP`` pieces and then moved by the lengths of the groups before: an array that
+    grows by one element is copied each time, so only short ones may grow, and time stays in proportion to the text."""
     marked = F.regexp_replace(F.translate(text, _MARK, _INSTEAD), pattern, f"{_MARK}$0{_MARK}")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    add = lambda a, x: F.struct(
-        (a["at"] + F.length(x)).alias("at"), (a["n"] + 1).alias("n"),
-        F.when(a["n"] % 2 == 1, F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value"))))).otherwise(a["out"]).alias("out"),
-    )
-    return F.when(F.instr(marked, _MARK) > 0, F.aggregate(F.split(marked, _MARK, -1), start, add, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    none = F.array().cast(f"array<{SPAN}>")
+    empty = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("out"))
+
+    def add(a: Column, x: Column) -> Column:
+        span = F.struct(F.lit(kind).alias("kind"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"), x.alias("value"))
+        return F.struct((a["at"] + F.length(x)).alias("at"), (a["n"] + 1).alias("n"), F.when(a["n"] % 2 == 1, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    def moved(groups: Column, offsets: Column) -> Column:
+        by = lambda j: lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + F.get(offsets, j)).alias("start"), (s["end"] + F.get(offsets, j)).alias("end"), s["value"].alias("value"))
+        return F.flatten(F.transform(groups, lambda g, j: F.transform(g["out"], by(j))))
+
+    def placed(groups: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add_up = lambda a, g: F.struct((a["at"] + g["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return _with(F.aggregate(groups, start, add_up, lambda a: a["out"]), lambda offsets: moved(groups, offsets))
+
+    def cut(parts: Column) -> Column:
+        each = F.sequence(F.lit(0), ((F.size(parts) - 1) / GROUP).cast("int"))
+        return _with(F.transform(each, lambda g: F.aggregate(F.slice(parts, g * GROUP + 1, F.lit(GROUP)), empty, add)), placed)
+
+    return F.when(F.instr(marked, _MARK) > 0, _with(F.split(marked, _MARK, -1), cut)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -81,13 +104,23 @@ def _terms(text: Column) -> Column:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """``doc, text_hash, entity, text_before, text_after`` for each span."""
-    s = F.col("s")
-    value = F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
-    before = F.substring(F.col("text"), F.greatest(s["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR_CHARS)))
-    after = F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR_CHARS))
-    near = F.concat(F.slice(F.reverse(_terms(before)), 1, NEAR_WORDS), F.slice(_terms(after), 1, NEAR_WORDS))
-    return found.select("doc_id", "text_hash", "text", F.explode("spans").alias("s")).select("doc_id", "text_hash", F.concat_ws(":", s["kind"], value).alias("entity"), F.array_distinct(near).alias("near"))
+    """``doc_id, text_hash, entity, near`` for each span. A span's surroundings come from the two of the text's cuts of ``CUT``
+    code points that hold them, so that neither the text is copied nor its beginning passed again for each span."""
+
+    def entity(s: Column) -> Column:
+        value = F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+        return F.concat_ws(":", s["kind"], value)
+
+    def near(cuts: Column, s: Column) -> Column:
+        first, last = F.greatest(F.floor(s["start"] / CUT).cast("int") - 1, F.lit(0)), F.floor(s["end"] / CUT).cast("int")
+        two = lambda i: F.array_join(F.slice(cuts, i + 1, F.lit(2)), "")
+        before = F.substring(two(first), F.greatest(s["start"] - NEAR_CHARS, F.lit(0)) - first * CUT + 1, F.least(s["start"], F.lit(NEAR_CHARS)))
+        after = F.substring(two(last), s["end"] - last * CUT + 1, F.lit(NEAR_CHARS))
+        return F.array_distinct(F.concat(F.slice(F.reverse(_terms(before)), 1, NEAR_WORDS), F.slice(_terms(after), 1, NEAR_WORDS)))
+
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    each = _with(cuts, lambda c: F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), near(c, s).alias("near"))))
+    return found.select("doc_id", "text_hash", F.inline(each))
 
 
 def disclosing_terms(texts: DataFrame, near: DataFrame, *, min_texts: int = MIN_TEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:

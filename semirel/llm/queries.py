@@ -67,7 +67,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from semirel.llm.decontamination import contaminated
 
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), folded=True, apart=True)
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,35 +94,49 @@ def _op8_sql() -> str:
     letters, tail = r"\p{L}", r"($|[^\p{L}\p{N}])"
     name = lambda x: f"regexp_replace({x}, '(^|[^{letters}])\\p{{Lu}}\\p{{Ll}}+($|[^{letters}])', '\\1{p}\\2', 'g')"
     return f"""
-WITH texts AS (
-  SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL
-), bare AS (SELECT kind, id, translate(coalesce(text, ''), '{marks}', '') AS bare FROM texts),
+WITH given AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION SELECT 'i', item_id, text FROM benchmark WHERE item_id IS NOT NULL
+), texts AS (
+  SELECT *, row_number() OVER () AS row FROM given
+), forms AS (
+  SELECT kind, id, row, 0 AS form, text FROM texts UNION ALL SELECT kind, id, row, 1, lower(text) FROM texts
+), bare AS (SELECT kind, id, row, form, translate(coalesce(text, ''), '{marks}', '') AS bare FROM forms),
 words AS (
-  SELECT kind, id, list_transform(w, lambda x: lower(x)) AS raw,
+  SELECT kind, id, row, form, list_transform(w, lambda x: lower(x)) AS raw,
     list_transform(w, lambda x: regexp_replace({name(name(f"regexp_replace(x, '[0-9]+', '{n}', 'g')"))}, '{n}({D.UNITS}){tail}', '{n}{u}\\2', 'g')) AS half
-  FROM (SELECT kind, id, list_filter(regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM bare)
+  FROM (SELECT kind, id, row, form, list_filter(regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM bare)
 ), templates AS (
-  SELECT kind, id, raw, list_transform(half, lambda x, i: lower(CASE WHEN i > 1 AND ends_with(half[i - 1], '{n}') THEN regexp_replace(x, '^({D.UNITS}){tail}', '{u}\\2') ELSE x END)) AS words FROM words
+  SELECT kind, id, row, form, raw, list_transform(half, lambda x, i: lower(CASE WHEN i > 1 AND ends_with(half[i - 1], '{n}') THEN regexp_replace(x, '^({D.UNITS}){tail}', '{u}\\2') ELSE x END)) AS words FROM words
 ), cut AS (
-  SELECT kind, id, raw, words, unnest(range(0, greatest(len(words) - {D.WINDOW - 1}, 0))) AS pos FROM templates
-), windows AS (SELECT kind, id, pos, words[pos + 1 : pos + {D.WINDOW}] AS w FROM cut),
+  SELECT kind, id, row, form, words, unnest(range(0, greatest(len(words) - {D.WINDOW - 1}, 0))) AS pos FROM templates
+), windows AS (SELECT kind, id, row, form, pos, words[pos + 1 : pos + {D.WINDOW}] AS w FROM cut),
 items AS (
-  SELECT DISTINCT id AS item_id, pos AS item_at, array_to_string(w, ' ') AS frame FROM windows
+  SELECT DISTINCT id AS item_id, form, pos AS item_at, array_to_string(w, ' ') AS frame FROM windows
   WHERE kind = 'i' AND len(list_filter(w, lambda x: NOT regexp_matches(x, '[{n}{p}{u}]'))) >= {D.WINDOW - D.MAX_SLOTS}
     AND len(list_distinct(list_filter(w, lambda x: NOT regexp_matches(x, '[{n}{p}{u}]')))) >= {D.MIN_LITERALS}
-), total AS (SELECT item_id, count(DISTINCT item_at) AS item_windows FROM items GROUP BY 1),
-hits AS (SELECT DISTINCT d.id AS doc_id, i.item_id, d.pos, i.item_at FROM (SELECT id, pos, array_to_string(w, ' ') AS frame FROM windows WHERE kind = 'd') d JOIN items i USING (frame)),
-pairs AS (
-  SELECT doc_id, item_id, count(DISTINCT item_at) AS matched, any_value(item_windows) AS item_windows FROM hits JOIN total USING (item_id) GROUP BY 1, 2
+), total AS (SELECT item_id, form, count(DISTINCT item_at) AS item_windows FROM items GROUP BY 1, 2),
+hits AS (SELECT DISTINCT d.id AS doc_id, d.row, form, i.item_id, d.pos, i.item_at FROM (SELECT id, row, form, pos, array_to_string(w, ' ') AS frame FROM windows WHERE kind = 'd') d JOIN items i USING (form, frame)),
+backs AS (
+  SELECT *, item_at <= lag(item_at) OVER (PARTITION BY row, form, item_id ORDER BY pos, item_at) AS back FROM hits
+), marked AS (
+  SELECT *, coalesce(sum(back::INTEGER) OVER (PARTITION BY row, form, item_id ORDER BY pos, item_at ROWS UNBOUNDED PRECEDING), 0) AS stretch FROM backs
+), held AS (
+  SELECT *, unnest(['all', 'shift ' || (pos - item_at), 'stretch ' || stretch]) AS occurrence FROM marked
+), pairs AS (
+  SELECT doc_id, row, form, item_id, occurrence, count(DISTINCT item_at) AS matched, any_value(item_windows) AS item_windows FROM held JOIN total USING (item_id, form) GROUP BY ALL
   HAVING count(DISTINCT item_at) >= {D.MIN_COVERAGE} * any_value(item_windows)
 ), slots AS (
-  SELECT DISTINCT p.doc_id, p.item_id, i.raw[h.item_at + k + 1] AS asked, d.raw[h.pos + k + 1] AS given
-  FROM pairs p JOIN hits h USING (doc_id, item_id) JOIN templates i ON i.kind = 'i' AND i.id = p.item_id JOIN templates d ON d.kind = 'd' AND d.id = p.doc_id, (SELECT unnest(range(0, {D.WINDOW})) AS k)
+  SELECT DISTINCT p.row, p.form, p.item_id, p.occurrence, i.raw[h.item_at + k + 1] AS asked, d.raw[h.pos + k + 1] AS given
+  FROM pairs p JOIN held h USING (row, form, item_id, occurrence) JOIN templates i ON i.kind = 'i' AND i.id = p.item_id AND i.form = p.form JOIN templates d ON d.kind = 'd' AND d.row = p.row AND d.form = p.form, (SELECT unnest(range(0, {D.WINDOW})) AS k)
   WHERE regexp_matches(i.words[h.item_at + k + 1], '[{n}{p}{u}]')
-), values_ AS (SELECT doc_id, item_id, asked, count(*) AS n, bool_and(asked = given) AS same FROM slots GROUP BY 1, 2, 3),
-judged AS (SELECT doc_id, item_id, count(*) AS slots, count(*) FILTER (n = 1) AS consistent, bool_and(same) AS verbatim FROM values_ GROUP BY 1, 2)
-SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, item_windows, matched / item_windows AS coverage, CAST(coalesce(slots, 0) AS INTEGER) AS slots, CAST(coalesce(consistent, 0) AS INTEGER) AS consistent, coalesce(verbatim, true) AS verbatim
-FROM pairs LEFT JOIN judged USING (doc_id, item_id) WHERE coalesce(consistent, 0) >= {D.MIN_CONSISTENT} * coalesce(slots, 0)"""
+), values_ AS (SELECT row, form, item_id, occurrence, asked, count(*) AS n, bool_and(asked = given) AS same FROM slots GROUP BY 1, 2, 3, 4, 5),
+judged AS (SELECT row, form, item_id, occurrence, count(*) AS slots, count(*) FILTER (n = 1) AS consistent, bool_and(same) AS verbatim FROM values_ GROUP BY 1, 2, 3, 4),
+passed AS (
+  SELECT doc_id, item_id, matched, item_windows, coalesce(slots, 0) AS slots, coalesce(consistent, 0) AS consistent, coalesce(verbatim, true) AS verbatim
+  FROM pairs LEFT JOIN judged USING (row, form, item_id, occurrence) WHERE coalesce(consistent, 0) >= {D.MIN_CONSISTENT} * coalesce(slots, 0)
+)
+SELECT doc_id, item_id, CAST(matched AS INTEGER) AS matched, item_windows, matched / item_windows AS coverage, CAST(slots AS INTEGER) AS slots, CAST(consistent AS INTEGER) AS consistent, verbatim
+FROM passed QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY consistent DESC, verbatim DESC, matched DESC, slots DESC, item_windows DESC) = 1"""
 
 
 def _op10_sql() -> str:

@@ -2,11 +2,11 @@
 
 The vocabulary is an existing one: the pieces of a public byte-level vocabulary. A
 piece's first score falls with its place in the vocabulary; expectation maximisation
-over the distinct words of all training documents then fits the scores to the corpus.
+over the words of all training documents, each as often as it occurs, then fits the scores to the corpus.
 A word's probability is the sum over every way through its lattice (forward recursion
-in log space): every segmentation into pieces and, for a word that training has seen,
-one edge across the whole word with its discounted frequency. As no piece spans two
-words, a document's probability is the product over its words, times that of its end.
+in log space). As no piece spans two words, a document's probability is the product over
+its words, times that of its end. ``mixed_score`` adds one edge across each whole word that
+training has seen, with its discounted frequency; ``score`` is that of the lattice alone.
 
 A word's lattice is computed once in the corpus, in the bucket that holds the word,
 and not once for each time it is read.
@@ -208,7 +208,7 @@ def _tokens(table: pa.Table, learn: bool) -> tuple[list[tuple[int, list[bytes]]]
 
 
 def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds: int = EM_ROUNDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row, learning from those not held out.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score`` for each row, learning from those not held out.
 
     Texts in lower case (A-Z) are words between ASCII white space, and one end. ``base_score``
     is the add-one word unigram, ``score`` the base-10 logarithm of the marginal probability.
@@ -252,7 +252,7 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
                     listed = words.split(b"\n")
                     listed = [listed[i] for i in some.tolist()]
                     seen += (counts.sum(), len(some), (counts == 1).sum(), (counts == 2).sum())
-                    part = model.expected(listed, np.ones(len(some)), scores if scores is not None else first_scores(len(model.pieces)))
+                    part = model.expected(listed, counts[some].astype(np.float64), scores if scores is not None else first_scores(len(model.pieces)))
                     total = part if total is None else total + part
             if total is not None:
                 ids = np.flatnonzero(total)
@@ -267,25 +267,27 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
         times = np.full(len(model.pieces), PRIOR)
         for k, x in got.items():
             times[k] += x
-        scores, stop = normal_scores(times, model.opens, word_kinds + PRIOR)
+        scores, stop = normal_scores(times, model.opens, word_tokens + PRIOR)
     train_tokens, kinds = word_tokens + train_docs, word_kinds + int(train_docs > 0)
     cut, mass = discount(once, twice), train_tokens + 2 * PRIOR
+    going = math.log((word_tokens + PRIOR) / mass)  # that another word comes and not the end
     end_score, rest = math.log((train_docs + PRIOR) / mass), math.log((cut * word_kinds + PRIOR) / mass)
-    shared = spark.sparkContext.broadcast((scores, stop + rest))  # one number for each piece of the vocabulary
+    shared = spark.sparkContext.broadcast((scores, stop, rest))  # one number for each piece of the vocabulary
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
         words, counts = B.load(right.column("data")[0].as_buffer(), "bytes", "i8")
         listed = words.split(b"\n")
         place = {w: i for i, w in enumerate(listed)}
-        scores, onward = shared.value
+        scores, stop, rest = shared.value
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(counts - cut, 0) / mass)
-        logs = np.logaddexp(whole, onward + lattice(path).log_likelihood(listed, scores))
+        inside = lattice(path).log_likelihood(listed, scores) + stop
+        logs, mixed = inside + going, np.logaddexp(whole, inside + rest)
         bucket = right.column("bucket")[0].as_py()
         out = []
         for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True):
             at = np.array([place[w] for w in B.load(data, "bytes", "i8")[0].split(b"\n")], np.int64)
-            out.append((block, bucket, B.dump(counts[at], logs[at])))
+            out.append((block, bucket, B.dump(counts[at], logs[at], mixed[at])))
         B.relax()
         return B.answers(out)
 
@@ -293,7 +295,7 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
 
     def finish(_: int, table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         rows, words, _, _ = _tokens(table, False)
-        counts, logs = (np.concatenate(x) for x in zip(*(B.load(got[k], "i8", "f8") for k in sorted(got)), strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
+        counts, logs, mixed = (np.concatenate(x) for x in zip(*(B.load(got[k], "i8", "f8", "f8") for k in sorted(got)), strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         place = {w: i for i, w in enumerate(words)}
         weights = np.log10(counts + 1.0)
         shift, end = math.log10(train_tokens + kinds + 1), math.log10(train_docs + 1)
@@ -301,9 +303,9 @@ def score_documents(docs: DataFrame, ranks_path: str | None = None, *, em_rounds
         for doc, listed in rows:
             at = np.fromiter(map(place.__getitem__, listed), np.int64, len(listed))
             size = len(listed) + 1
-            out.append((is_held_out(doc), size, int((counts[at] > 0).sum()) + int(train_docs > 0), train_tokens, float(weights[at].sum()) + end - size * shift, (float(logs[at].sum()) + end_score) / LN10))
+            out.append((is_held_out(doc), size, int((counts[at] > 0).sum()) + int(train_docs > 0), train_tokens, float(weights[at].sum()) + end - size * shift, *((float(x[at].sum()) + end_score) / LN10 for x in (logs, mixed))))
         columns = list(zip(*out, strict=True))
-        kinds_ = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({"doc_id": table.column("doc_id"), **{name: pa.array(c, t) for name, c, t in zip(("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"), columns, kinds_, strict=True)}})
+        kinds_ = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table({"doc_id": table.column("doc_id"), **{name: pa.array(c, t) for name, c, t in zip(("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score"), columns, kinds_, strict=True)}})
 
-    return B.settle(blocks, answered, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return B.settle(blocks, answered, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double")

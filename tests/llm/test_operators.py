@@ -366,6 +366,43 @@ def test_unigram_lm(docs, none):
     assert unigram_lm.score_documents(none).collect() == []
 
 
+def test_lm_score_is_the_lattices(spark):
+    """``score`` against the sum over all segmentations of each word, with scores fitted by a plain version of the fit."""
+    rows = [(i, t) for i, t in enumerate(["the thorr reads", "the new été", "", "reads reads the unheardofly long", None, "the the end"])]
+    got = {r["doc_id"]: r for r in unigram_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), em_rounds=2).collect()}
+    model, prior = unigram_lm.lattice(unigram_lm.default_path()), unigram_lm.PRIOR
+    train = [t or "" for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    seen = Counter(w for t in train for w in t.encode().split())
+
+    def ways(text):
+        if not text:
+            yield []
+        for j in range(1, min(len(text), model.longest) + 1):
+            if text[:j] in model.id:
+                for rest in ways(text[j:]):
+                    yield [model.id[text[:j]], *rest]
+
+    listed = {w: list(ways(b" " + w)) for w in {x for _, t in rows for x in (t or "").encode().split()} if len(w) < 12}
+    scores, tokens = unigram_lm.first_scores(len(model.pieces)), sum(seen.values())
+    for _ in range(2):
+        times = np.full(len(model.pieces), prior)
+        for w, n in seen.items():
+            if w in listed:
+                p = [math.exp(sum(scores[k] for k in way)) for way in listed[w]]
+                for way, x in zip(listed[w], p, strict=True):
+                    for k in way:
+                        times[k] += n * x / sum(p)
+            else:
+                times += n * model.expected([w], np.ones(1), scores)
+        scores, stop = unigram_lm.normal_scores(times, model.opens, tokens + prior)
+    mass = tokens + len(train) + 2 * prior
+    for d, t in rows:
+        words = (t or "").encode().split()
+        if all(w in listed for w in words):
+            want = math.log((len(train) + prior) / mass) + sum(math.log(sum(math.exp(sum(scores[k] for k in way)) for way in listed[w])) + stop + math.log((tokens + prior) / mass) for w in words)
+            assert math.isclose(got[d]["score"], want / math.log(10), rel_tol=1e-9), t
+
+
 def test_lattice_sums_all_segmentations():
     model = unigram_lm.lattice(unigram_lm.default_path())
     scores = unigram_lm.first_scores(len(model.pieces))
@@ -524,7 +561,7 @@ def test_decontamination_sql(spark, tmp_path):
     from semirel.llm import queries
 
     question = "the train to Boston leaves at 7 and goes 60 km or 5kg before the driver Alice stops near the old mill where Alice buys 3 apples"
-    rows = [(1, question), (2, question.replace("Alice", "Robert").replace("60 km", "85 mi").replace("5kg", "9lb")), (3, question.replace("driver Alice", "driver Bob")), (4, None), (5, "Ab-Cd " * 9), (6, SHARED)]
+    rows = [(1, question), (2, question.replace("Alice", "Robert").replace("60 km", "85 mi").replace("5kg", "9lb")), (3, question.replace("driver Alice", "driver Bob")), (4, None), (5, "Ab-Cd " * 9), (6, SHARED), (7, say(30)), (7, question.upper()), (8, f"{question} {say(5)} {question.replace('Alice', 'Nora').replace('7', '8')}")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, question), (2, SHARED), (3, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
@@ -532,7 +569,31 @@ def test_decontamination_sql(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = con.sql(queries.ORACLE_SQL["op8_template_decontamination"])
     got = queries.QUERIES["op8_template_decontamination"](spark, str(tmp_path))
-    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall()) and got.count() == 4
+    found = sorted(tuple(r[c] for c in want.columns) for r in got.collect())
+    assert found == sorted(want.fetchall()) and {r[:2] for r in found} >= {(1, 1), (2, 1), (6, 2), (7, 1), (8, 1)}
+
+
+def test_decontamination_of_repeated_ids_and_long_texts(spark):
+    """Each row of an id is read by itself; repeats and numbers of very long texts take time in proportion."""
+    import time
+
+    question = "the train to Boston leaves at 7 and goes 60 km before the driver Alice stops near the old mill where Alice buys 3 apples"
+    bench = spark.createDataFrame([(1, question), (2, SHARED)], "item_id long, text string")
+    rows = [(1, f"{say(9)} {question} {say(9)}"), (1, f"{say(30)} {question}"), (1, say(50)), (2, f"{question} " * 8000), (3, "a12 b 7 km " * 100_000)]
+    began = time.time()
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bench, folded=True, apart=True).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 1)} and all(r["verbatim"] for r in got)
+    assert time.time() - began < 90
+
+
+def test_personal_data_of_long_texts(spark):
+    """Numbers of a long text take time in proportion to it."""
+    import time
+
+    text, began = "1.2.3.4 a12 b " * 40_000, time.time()
+    (row,) = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(row["spans"]) == 40_000 and all(text[s["start"] : s["end"]] == "1.2.3.4" for s in row["spans"]) and row["spans"][-1]["end"] == len(text) - 7
+    assert time.time() - began < 60
 
 
 @pytest.mark.parametrize("name", ["op1_topk_search", "op7_line_dedup", "op8_template_decontamination", "op9_sentence_spans", "op10_information_sanitisation"])
@@ -619,6 +680,21 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Nothing is clipped: components of 1e7 and more count as floor(64 * x), and sums near 64 bits are exact."""
+    rng = np.random.default_rng(4)
+    for scale in (1e7, 1.5e7):
+        vectors = (rng.normal(0, scale, (60, 8))).tolist()
+        ints = [[math.floor(64 * x) for x in v] for v in vectors]
+        df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        for q in (0, 20, 40):
+            scored = sorted((-sum(x * y for x, y in zip(ints[q], v, strict=True)), i) for i, v in enumerate(ints) if i != q)[:20]
+            assert got[q] == [(i, -s) for s, i in scored]
+
+
 def test_early_stop_is_exact():
     rng = np.random.default_rng(1)
     vectors = np.floor(64 * rng.normal(0, 0.125, (3000, 32)) * np.exp(rng.normal(0, 1, 32))).astype(np.int64)
