@@ -21,8 +21,11 @@ def memo(a: KRel, checkpoint: bool = False) -> KRel:
     """The relation with unique keys, as one aggregate; with ``checkpoint`` also written, for use in several places."""
     out = a.dedup()
     sc = a.df.sparkSession.sparkContext
-    if checkpoint and sc.getCheckpointDir() is None:  # the cluster's folder counts; a temporary one only where it names none
-        sc.setCheckpointDir(a.df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
+    if checkpoint and sc.getCheckpointDir() is None:  # the cluster's folder counts; only a local master may do without
+        folder = a.df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
     return out.with_df(out.df.checkpoint() if checkpoint else out.df, value=out.value)
 
 

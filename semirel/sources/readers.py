@@ -71,24 +71,23 @@ def text_coo(df: DataFrame, keys: tuple[str, ...], value: str, semiring: Semirin
 
 
 def matrix_market(spark: SparkSession, path: str, row: str = "i", column: str = "j", semiring: Semiring = REAL) -> KRel:
-    """A ``coordinate`` MatrixMarket file as a zero-based matrix.
+    """A ``coordinate`` MatrixMarket file as a zero-based matrix: ``general``, or ``symmetric``, whose other half is implied,
+    or ``skew-symmetric``, whose other half is implied with the sign changed; with numbers or a ``pattern`` (all one).
 
-    The only header line that matters is the first, which says whether the other half of a symmetric
-    matrix is implied; comments and the line of sizes are told by their place before the entries.
+    The line of sizes is told by its place, the first line that is no comment; an entry that reads like it is an entry.
+    Other kinds (``array``, ``complex``, ``hermitian``) raise an error. The file may be large, as only its first lines pass the driver.
     """
-    lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
-    kind = head[0].lower().split() if head else []
-    parts = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0)).select(parts.alias("p"))
-    # the sizes come first: rows, columns and entries; an entry of a pattern matrix has two numbers
-    sizes = body.first()
-    wide = 2 if "pattern" in kind else 3
-    entries = body.where(F.size("p") == wide)
-    if sizes and len(sizes[0]) == wide:
-        entries = entries.where(F.col("p") != F.array(*map(F.lit, sizes[0])))
-    value = F.lit(1.0) if wide == 2 else F.col("p")[2].cast("double")
-    flat = entries.select((F.col("p")[0].cast("long") - 1).alias(row), (F.col("p")[1].cast("long") - 1).alias(column), value.alias("_x"))
-    if "symmetric" in kind:
-        flat = flat.unionByName(flat.where(F.col(row) != F.col(column)).select(F.col(column).alias(row), F.col(row).alias(column), "_x"))
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    head = lines.where(F.col("value").startswith("%%MatrixMarket")).select("value").first()
+    kind = (head[0] if head else "%%MatrixMarket matrix coordinate real general").lower().split()[1:]
+    if len(kind) != 4 or kind[:2] != ["matrix", "coordinate"] or kind[2] not in ("real", "integer", "double", "pattern") or kind[3] not in ("general", "symmetric", "skew-symmetric"):
+        raise ValueError(f"this kind of MatrixMarket file is not read: {' '.join(kind)}")
+    body = lines.where(~F.col("value").startswith("%") & (F.length(F.trim("value")) > 0))
+    first = body.agg(F.min("_line")).first()[0]
+    p = F.split(F.trim("value"), r"\s+")
+    value = F.lit(1.0) if kind[2] == "pattern" else F.get(p, 2).cast("double")
+    flat = body.where(F.col("_line") > F.lit(first)).select((p[0].cast("long") - 1).alias(row), (p[1].cast("long") - 1).alias(column), value.alias("_x"))
+    if kind[3] != "general":
+        other = -F.col("_x") if kind[3] == "skew-symmetric" else F.col("_x")
+        flat = flat.unionByName(flat.where(F.col(row) != F.col(column)).select(F.col(column).alias(row), F.col(row).alias(column), other.alias("_x")))
     return coo(flat, (row, column), "_x", semiring)

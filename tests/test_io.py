@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from semirel.functions import scalars as S
@@ -31,10 +32,23 @@ def test_matrix_market(spark, tmp_path):
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% note\n3 3 2\n1 2 1.5\n3 3 2\n")
     rows = readers.matrix_market(spark, str(tmp_path / "m.mtx")).df.collect()
     assert {(r["i"], r["j"]): r["v"] for r in rows}[(0, 1)] == 1.5
-    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n2 2\n2 1\n")
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n2 2 1\n2 1\n")
     assert {(r["i"], r["j"]) for r in readers.matrix_market(spark, str(tmp_path / "s.mtx")).df.collect()} >= {(0, 1), (1, 0)}
 
 
+def test_matrix_market_entries_like_sizes(spark, tmp_path):
+    """Entries that read like the line of sizes stay; the other half of a skew-symmetric matrix changes its sign; other kinds are refused."""
+    def read(text):
+        (tmp_path / "x.mtx").write_text(text)
+        return {(r["i"], r["j"]): r["v"] for r in readers.matrix_market(spark, str(tmp_path / "x.mtx")).df.collect()}
+
+    assert read("%%MatrixMarket matrix coordinate real general\n3 3 3\n1 1 1\n3 3 3\n2 1 4\n") == {(0, 0): 1.0, (2, 2): 3.0, (1, 0): 4.0}
+    assert read("%%MatrixMarket matrix coordinate real skew-symmetric\n2 2 1\n2 1 5\n") == {(1, 0): 5.0, (0, 1): -5.0}
+    for kind in ("array real general", "coordinate complex general", "coordinate real hermitian"):
+        with pytest.raises(ValueError, match="not read"):
+            read(f"%%MatrixMarket matrix {kind}\n1 1 1\n1 1 1\n")
+
+
 def test_text_coo(spark):
     df = spark.createDataFrame([("1", "2.5x"), ("1", "junk"), ("7up", "1e1")], "i string, x string")
     assert {r["i"]: r["v"] for r in readers.text_coo(df, ("i",), "x").df.collect()} == {1: 2.5, 7: 10.0}
