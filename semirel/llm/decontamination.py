@@ -37,11 +37,12 @@ def raw_words(text: Column) -> Column:
     return _words(F.lower(_bare(text)))
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: bool = True) -> Column:
     """The words of ``raw_words`` with placeholders for numbers, for names (any capitalised word, so that
     the first word of a sentence reads alike wherever the sentence stands) and for units after a number."""
     t = F.regexp_replace(_bare(text), "[0-9]+", _NUMBER)
-    t = F.regexp_replace(t, rf"(?<!\p{{L}})\p{{Lu}}\p{{Ll}}+(?!\p{{L}})", _NAME)
+    if names:
+        t = F.regexp_replace(t, rf"(?<!\p{{L}})\p{{Lu}}\p{{Ll}}+(?!\p{{L}})", _NAME)
     t = F.regexp_replace(t, rf"({_NUMBER} ?)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}")
     return _words(F.lower(t))
 
@@ -54,7 +55,7 @@ def _forms(rows: DataFrame, folded: bool, *keep: str | Column) -> DataFrame:
     """``keep, form, words``: each text's template and, with ``folded``, also that of the text in lower case, where names are literal words."""
     if not folded:
         return rows.select(*keep, F.lit(0).alias("form"), template(F.col("text")).alias("words"))
-    return rows.select(*keep, F.posexplode(F.array(template(F.col("text")), template(F.lower("text")))).alias("form", "words"))
+    return rows.select(*keep, F.posexplode(F.array(template(F.col("text")), template(F.lower("text"), names=False))).alias("form", "words"))
 
 
 def _windows(rows: DataFrame, key: tuple[str, ...], width: int) -> DataFrame:

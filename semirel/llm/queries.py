@@ -92,6 +92,7 @@ def _op8_sql() -> str:
     """Word by word, as DuckDB's patterns cannot look around; names twice, for those that share a separator."""
     n, p, u, marks = D._NUMBER, D._NAME, D._UNIT, D._MARKS.replace("'", "''")
     letters, tail = r"\p{L}", r"($|[^\p{L}\p{N}])"
+    figures = f"regexp_replace(x, '[0-9]+', '{n}', 'g')"
     name = lambda x: f"regexp_replace({x}, '(^|[^{letters}])\\p{{Lu}}\\p{{Ll}}+($|[^{letters}])', '\\1{p}\\2', 'g')"
     return f"""
 WITH given AS (
@@ -103,7 +104,7 @@ WITH given AS (
 ), bare AS (SELECT kind, id, row, form, translate(coalesce(text, ''), '{marks}', '') AS bare FROM forms),
 words AS (
   SELECT kind, id, row, form, list_transform(w, lambda x: lower(x)) AS raw,
-    list_transform(w, lambda x: regexp_replace({name(name(f"regexp_replace(x, '[0-9]+', '{n}', 'g')"))}, '{n}({D.UNITS}){tail}', '{n}{u}\\2', 'g')) AS half
+    list_transform(w, lambda x: regexp_replace(CASE WHEN form = 0 THEN {name(name(figures))} ELSE {figures} END, '{n}({D.UNITS}){tail}', '{n}{u}\\2', 'g')) AS half
   FROM (SELECT kind, id, row, form, list_filter(regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM bare)
 ), templates AS (
   SELECT kind, id, row, form, raw, list_transform(half, lambda x, i: lower(CASE WHEN i > 1 AND ends_with(half[i - 1], '{n}') THEN regexp_replace(x, '^({D.UNITS}){tail}', '{u}\\2') ELSE x END)) AS words FROM words
