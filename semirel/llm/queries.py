@@ -194,11 +194,14 @@ worded AS (
   SELECT *, regexp_replace({_ASCII_LOWER.format(f"trim(s, {_BLANK})")}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g') AS key FROM sentences
 ), held AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len(string_split(key, ' ')) AS n FROM worded WHERE key <> ''
+), runs_from AS (
+  SELECT doc_id, r, list(key) OVER w AS keys, list(n) OVER w AS sizes FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY r ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)
 ), spans AS (
-  SELECT doc_id, i, r, key || chr(10) || lead(key) OVER w AS span, n + lead(n) OVER w AS words FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY r)
+  SELECT doc_id, r, d, array_to_string(keys[1:d], chr(10)) AS span FROM runs_from, (SELECT unnest(range(2, 13)) AS d)
+  WHERE len(keys) >= d AND list_sum(sizes[1:d]) >= 12 AND (d = 2 OR list_sum(sizes[1:d - 1]) < 12 OR list_sum(sizes[2:d]) < 12)
 ), repeated AS (
-  SELECT doc_id, r FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, r) AS place FROM spans WHERE span IS NOT NULL AND words >= 12) WHERE place > 1
-), gone AS (SELECT DISTINCT doc_id, r + d AS r FROM repeated, (SELECT unnest([0, 1]) AS d)),
+  SELECT doc_id, r, d FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY doc_id, r) AS place FROM spans) WHERE place > 1
+), gone AS (SELECT DISTINCT doc_id, r + unnest(range(0, d)) AS r FROM repeated),
 marked AS (SELECT h.doc_id, h.i, h.r, g.r IS NOT NULL AS removed FROM held h LEFT JOIN gone g USING (doc_id, r)),
 runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY r), false) AS begins FROM marked)
 SELECT s.doc_id, count(m.i) AS n_sentences, CAST(count(*) FILTER (m.removed) AS BIGINT) AS n_removed, CAST(count(*) FILTER (m.begins) AS BIGINT) AS n_spans,

@@ -1,13 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed and joined across the corpus;
-the sentences under any occurrence but the first (by document, then by place) go.
+Every run of at least ``span`` consecutive sentences and ``min_words`` words counts; the
+sentences under any occurrence but the first (by document, then by place) go. Only the
+shortest such run from each start and the shortest one to each end are hashed and joined
+across the corpus: a repeated run is covered by those within it, which repeat as it does.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,23 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def _spans(text: bytes, span: int, least: int) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, bytes]]]:
-    """The sentences, which of them hold words, and ``(place among those, digest)`` of each span of at least ``least`` words."""
+def shortest_runs(sizes: list[int], span: int, least: int) -> list[tuple[int, int]]:
+    """``(start, end)`` of the shortest runs of at least ``span`` sentences and ``least`` words from each start and to each end."""
+    total, n = [0, *accumulate(sizes)], len(sizes)
+    forward = {(p, max(p + span, bisect_left(total, total[p] + least))) for p in range(n - span + 1)}
+    backward = {(min(e - span, bisect_right(total, total[e] - least) - 1), e) for e in range(span, n + 1)}
+    return sorted((p, e) for p, e in forward | backward if p >= 0 and e <= n)
+
+
+def _spans(text: bytes, span: int, least: int) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int, bytes]]]:
+    """The sentences, which of them hold words, and ``(start and end among those, digest)`` of each shortest run."""
     cuts = sentences(text)
     words = [text[i:j].lower().split() for i, j in cuts]
     full = [i for i, w in enumerate(words) if w]
     keys = [b" ".join(words[i]) for i in full]
-    sizes = [len(words[i]) for i in full]
+    runs = shortest_runs([len(words[i]) for i in full], span, least)
     digest = xxhash.xxh3_128_digest
-    return cuts, full, [(p, digest(b"\n".join(keys[p : p + span]))[:12]) for p in range(len(keys) - span + 1) if sum(sizes[p : p + span]) >= least]
+    return cuts, full, [(p, e, digest(b"\n".join(keys[p:e]))[:12]) for p, e in runs]
 
 
 def _collect(table: pa.Table, span: int, least: int):
@@ -47,13 +59,13 @@ def _collect(table: pa.Table, span: int, least: int):
     for doc, text in zip(B.ids_of(table).tolist(), B.texts_of(table), strict=True):
         cuts, full, found = _spans(text, span, least)
         at = []
-        for p, key in found:
+        for p, e, key in found:
             i = seen.setdefault(key, len(first))
             if i == len(first):
                 first.append((doc, p))
             elif (doc, p) < first[i]:
                 first[i] = (doc, p)
-            at.append((p, i))
+            at.append((p, e, i))
         rows.append((doc, text, cuts, full, at))
     raw = np.frombuffer(b"".join(seen), np.dtype([("hi", ">u8"), ("lo", ">u4")]))
     hi, lo = raw["hi"].astype(np.uint64), raw["lo"].astype(np.uint32)
@@ -87,8 +99,9 @@ def span_dedup(docs: DataFrame, *, span: int = SPAN, min_words: int = MIN_WORDS)
     """``doc_id, text, n_sentences, n_removed, n_spans`` for each row.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line's end; it is
-    compared in lower case (A-Z) with its white space as single spaces. Spans of under
-    ``min_words`` words are left alone. ``n_spans`` counts the runs of removed sentences.
+    compared in lower case (A-Z) with its white space as single spaces. Short sentences count
+    together with their neighbours; repeats of under ``min_words`` words in all, or of fewer
+    than ``span`` sentences, are left alone. ``n_spans`` counts the runs of removed sentences.
 
     Null or empty text: no sentence. A text of fewer than ``span`` sentences stays.
     Null ``doc_id`` orders after all others. Rows that repeat a ``doc_id`` count as one
@@ -114,7 +127,7 @@ def span_dedup(docs: DataFrame, *, span: int = SPAN, min_words: int = MIN_WORDS)
         doc, at = doc[place].tolist(), at[place].tolist()
         texts, total, removed, runs = [], [], [], []
         for own, text, cuts, full, found in rows:
-            gone = {full[q] for p, i in found if (own, p) != (doc[i], at[i]) for q in range(p, p + span)}
+            gone = {full[q] for p, e, i in found if (own, p) != (doc[i], at[i]) for q in range(p, e)}
             texts.append(b"".join(text[a:b] for i, (a, b) in enumerate(cuts) if i not in gone) if gone else text)
             total.append(len(full))
             removed.append(len(gone))

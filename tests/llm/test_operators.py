@@ -121,18 +121,29 @@ def test_sentence_spans(docs, none):
     for d, t in TEXTS:
         parts = split(t or "")
         full = [i for i, s in enumerate(parts) if words(s)]
-        spans = [(p, tuple(tuple(words(parts[i])) for i in full[p : p + 2])) for p in range(len(full) - 1)]
+        said = [tuple(words(parts[i])) for i in full]
+        spans = [(p, tuple(said[p:e])) for p in range(len(said)) for e in range(p + 2, len(said) + 1)]  # every run
         spans = [(p, s) for p, s in spans if sum(map(len, s)) >= 12]
         for p, s in spans:
             first[s] = min(first.get(s, (math.inf, math.inf)), (order(d), p))
         parsed.append((d, parts, full, spans))
     want = Counter()
     for d, parts, full, spans in parsed:
-        gone = {full[q] for p, s in spans if first[s] < (order(d), p) for q in (p, p + 1)}
+        gone = {full[q] for p, s in spans if first[s] < (order(d), p) for q in range(p, p + len(s))}
         want[(d, "".join(s for i, s in enumerate(parts) if i not in gone), len(full), len(gone))] += 1
     got = sentence_spans.span_dedup(docs)
     assert Counter(tuple(r)[:4] for r in got.collect()) == want and any(k[3] for k in want)
     assert sentence_spans.span_dedup(none).collect() == []
+    assert want[(13, "A longer line here\n", 40, 39)] == 1
+
+
+def test_spans_of_short_sentences(spark):
+    """A repeated passage goes whole, its short sentences too; what repeats over fewer words stays."""
+    short = "".join(f"{w} {w}ly!\n" for w in WORDS)
+    tail = "This passage has a sentence of more than twelve words in all to begin with. It ends. So there. "
+    texts = [(1, short), (2, f"Own words first.\n{short}Own words last."), (3, tail + "Then one."), (4, tail + "Then another."), (5, "It ends. So there. Once.")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"], r["n_spans"]) for r in sentence_spans.span_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: (short, 0, 0), 2: ("Own words first.\nOwn words last.", 12, 1), 3: (texts[2][1], 0, 0), 4: ("Then another.", 3, 1), 5: (texts[4][1], 0, 0)}
 
 
 def brute_components(ids, fps, reach):
