@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,22 @@ def expand(a: KRel, other: KRel) -> KRel:
     return a * KRel(other.df.select(*missing).distinct(), tuple(missing), None, a.semiring) if missing else a
 
 
-def memo(a: KRel, checkpoint: bool = False) -> KRel:
-    """The relation with unique keys, as one aggregate; with ``checkpoint`` also written, for use in several places."""
-    out = a.dedup()
-    sc = a.df.sparkSession.sparkContext
-    if checkpoint and sc.getCheckpointDir() is None:  # the cluster's folder counts; only a local master may do without
-        folder = a.df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder for written intermediates; only a local master, whose tasks see the driver's folders, may do without."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="semirel-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def memo(a: KRel, checkpoint: bool = False) -> KRel:
+    """The relation with unique keys, as one aggregate; with ``checkpoint`` also written, for use in several places."""
+    out = a.dedup()
+    if checkpoint:
+        shared_folder(a.df.sparkSession)
     return out.with_df(out.df.checkpoint() if checkpoint else out.df, value=out.value)
 
 
@@ -47,10 +55,23 @@ def empty(spark: SparkSession, keys: str, semiring: Semiring = COUNTING) -> KRel
 
 def dense_fill(a: KRel, name: str, low: int, high: int) -> KRel:
     """One row for each key of a range, zero where ``a`` has none. ``a`` has that one key."""
-    spark = a.df.sparkSession
-    keys = spark.range(low, high).select(F.col("id").alias(name))
-    filled = keys.join(a.dedup().df, name, "left")
-    return a.with_df(filled.select(name, F.coalesce(VALUE, a.semiring.zero_col).alias(VALUE)), (name,))
+    return dense_box(a, {name: (low, high)})
+
+
+def dense_box(a: KRel, ranges: dict[str, tuple[int, int]]) -> KRel:
+    """A dense matrix or tensor: one row for each point of the box ``{key: (low, high)}``, zero where ``a`` has none.
+
+    Points are the digits of one range of numbers, dealt evenly over the tasks; ``a`` has exactly these keys.
+    """
+    sizes = {k: max(0, high - low) for k, (low, high) in ranges.items()}
+    points, at = a.df.sparkSession.range(math.prod(sizes.values())), F.col("id")
+    keys = {}
+    for k in reversed(list(ranges)):
+        n = max(1, sizes[k])
+        keys[k], at = (F.pmod(at, F.lit(n)) + ranges[k][0]).cast("long").alias(k), F.floor(at / n)
+    box = points.select(*(keys[k] for k in ranges))
+    filled = box.join(a.dedup().df, list(ranges), "left")
+    return a.with_df(filled.select(*ranges, F.coalesce(VALUE, a.semiring.zero_col).alias(VALUE)), tuple(ranges))
 
 
 def nest(a: KRel, outer: tuple[str, ...]) -> DataFrame:

@@ -6,6 +6,7 @@ in any order; sums of prices are rounded far above their last digit for the same
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,11 @@ from semirel.operators import shape, sums
 from semirel.operators.contraction import having
 from semirel.operators.products import product
 from semirel.plans import eager, paths
+from semirel.plans.skew import salted_product
 from semirel.plans.triangle import triangle_balanced, triangle_naive
 from semirel.relation import VALUE, Fun, KRel
-from semirel.semiring import BOOLEAN, COUNTING, MAX_PLUS, MIN_PLUS, REAL
-from semirel.sources import readers
+from semirel.semiring import BOOLEAN, COUNTING, MAX_PLUS, MIN_PLUS, REAL, Semiring
+from semirel.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -635,3 +637,128 @@ def array_source(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {A_SQL}, {B_SQL}, {V_SQL} SELECT k, CAST(sum(CAST(a.v AS HUGEINT) * b.v * v.v) AS BIGINT) AS total FROM a JOIN b USING (j) JOIN v USING (j) GROUP BY k")
 def eager_chain(spark: SparkSession, sf: str) -> DataFrame:
     return _out(eager.sum_product([matrix_a(spark, sf), matrix_b(spark, sf), vector_v(spark, sf)], ("k",)))
+
+
+# --- functions, ranges, rings and shapes beyond those above ----------------------------
+
+
+@query("SELECT s_suppkey, s_nationkey, CAST(1 AS BIGINT) AS total FROM supplier WHERE s_nationkey < 10")
+def guarded_sum(spark: SparkSession, sf: str) -> DataFrame:
+    rel = KRel.table(_read(spark, sf, "supplier", "s_suppkey", "s_nationkey"), ("s_suppkey", "s_nationkey"))
+    return _out(sums.seq(sums.guard(F.col("s_nationkey") < 10, rel), sums.guard(False, rel)))
+
+
+@query("SELECT s_suppkey, s_nationkey, CAST(s_nationkey + 1 + 2 * s_suppkey AS BIGINT) AS total FROM supplier")
+def function_sum(spark: SparkSession, sf: str) -> DataFrame:
+    rel = KRel.table(_read(spark, sf, "supplier", "s_suppkey", "s_nationkey"), ("s_suppkey", "s_nationkey"))
+    return _out(rel * (Fun(("s_nationkey",), lambda n: (n + 1).cast("long")) + Fun(("s_suppkey",), lambda k: 2 * k)))
+
+
+@query("SELECT l_suppkey, CAST(3 * count(*) AS BIGINT) AS total FROM lineitem WHERE l_linenumber BETWEEN 0 AND 4 GROUP BY 1")
+def replicate_product(spark: SparkSession, sf: str) -> DataFrame:
+    rel = KRel.table(_lineitem(spark, sf, "l_suppkey", "l_linenumber"), ("l_suppkey", "l_linenumber"))
+    return _out((rel * shape.replicate(spark, "l_linenumber", 5, 3)).select("l_suppkey"))
+
+
+@query("SELECT l_linenumber, CAST(count(*) AS BIGINT) AS total FROM lineitem WHERE l_linenumber >= 2 AND l_linenumber < 5 GROUP BY 1")
+def index_range_slice(spark: SparkSession, sf: str) -> DataFrame:
+    rel = KRel.table(_lineitem(spark, sf, "l_linenumber"), ("l_linenumber",))
+    return _out((rel * shape.index_range(spark, "l_linenumber", 2, 5)).select("l_linenumber"))
+
+
+@query("SELECT l_suppkey, CAST(bit_xor(l_orderkey) AS BIGINT) AS total FROM lineitem GROUP BY 1")
+def own_semiring(spark: SparkSession, sf: str) -> DataFrame:
+    xor = Semiring("xor", "bigint", 0, 1, F.bit_xor, lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseAND(b))
+    return _out(KRel.table(_lineitem(spark, sf, "l_suppkey", "l_orderkey"), ("l_suppkey",), "l_orderkey", xor).dedup())
+
+
+@query("""SELECT CAST(x.k AS BIGINT) AS nation, CAST(y.d AS BIGINT) AS digit, CAST(coalesce(n, 0) AS BIGINT) AS total
+FROM (SELECT unnest(range(0, 25)) AS k) x CROSS JOIN (SELECT unnest(range(-1, 10)) AS d) y
+LEFT JOIN (SELECT s_nationkey AS k, s_suppkey % 10 AS d, count(*) AS n FROM supplier GROUP BY 1, 2) s USING (k, d)""")
+def dense_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    df = _read(spark, sf, "supplier", "s_nationkey", "s_suppkey").select(F.col("s_nationkey").cast("long").alias("nation"), (F.col("s_suppkey") % 10).alias("digit"))
+    return _out(shape.dense_box(KRel.table(df, ("nation", "digit")), {"nation": (0, 25), "digit": (-1, 10)}))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey <> l_partkey AS ne, l_suppkey - l_partkey AS sub, CAST(l_quantity > 25 AS INTEGER) AS big, CAST(l_partkey AS DOUBLE) AS number,
+CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM lineitem""")
+def scalar_more(spark: SparkSession, sf: str) -> DataFrame:
+    supp, part = F.col("l_suppkey"), F.col("l_partkey")
+    days = F.unix_date(F.to_date("l_shipdate"))
+    return _lineitem(spark, sf, "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_shipdate").select(
+        "l_orderkey", "l_linenumber", S.ne(supp, part).alias("ne"), (supp - part).alias("sub"), S.of_bool(F.col("l_quantity") > 25, "int").alias("big"), S.to_num(part).alias("number"),
+        S.epoch_to_year(days.cast("long") * 86400).cast("int").alias("ship_year"),
+    )
+
+
+@query("SELECT vec_id, embedding[1]::DOUBLE AS first, embedding[100000]::DOUBLE AS beyond FROM embeddings")
+def array_access(spark: SparkSession, sf: str) -> DataFrame:
+    df, x = _read(spark, sf, "embeddings", "vec_id", "embedding"), F.col("embedding")
+    return df.select("vec_id", S.access(x, F.lit(0)).cast("double").alias("first"), S.access(x, F.lit(99_999)).cast("double").alias("beyond"))
+
+
+FOUR_SQL = """r AS (SELECT DISTINCT l_suppkey AS a, l_linenumber AS b FROM lineitem), s AS (SELECT DISTINCT l_linenumber AS b, l_partkey % 997 AS c FROM lineitem),
+t AS (SELECT DISTINCT l_partkey % 997 AS c, CAST(l_quantity AS BIGINT) AS d FROM lineitem), u AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS d, l_suppkey AS a FROM lineitem)"""
+
+
+@query(f"""WITH {FOUR_SQL}, x AS (SELECT a, c, count(*) AS n FROM r JOIN s USING (b) GROUP BY 1, 2), y AS (SELECT c, a, count(*) AS n FROM t JOIN u USING (d) GROUP BY 1, 2)
+SELECT CAST(sum(x.n * y.n) AS BIGINT) AS total FROM x JOIN y USING (a, c)""")
+def four_cycle_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles a, b, c, d: either half is summed to its two ends before the halves meet, so no cycle is listed."""
+    df = _lineitem(spark, sf, "l_suppkey", "l_linenumber", "l_partkey", "l_quantity")
+    at = {"a": F.col("l_suppkey"), "b": F.col("l_linenumber"), "c": F.col("l_partkey") % 997, "d": F.col("l_quantity").cast("long")}
+    r, s, t, u = (KRel.table(df.select(at[x].alias(x), at[y].alias(y)).distinct(), (x, y)) for x, y in ("ab", "bc", "cd", "da"))
+    return _out(eager.sum_product([r, s, t, u]))
+
+
+@query(same_as("matmul_abt"))
+def matmul_abt_salted(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven line numbers are the only join keys: each is dealt to 32 parts."""
+    return _out(salted_product(matrix_b(spark, sf, "i", "k"), matrix_b(spark, sf, "j", "k"), salts=32, least_rows=64).contract("k"))
+
+
+# --- sources and sinks ---------------------------------------------------------------
+
+
+def _fresh(spark: SparkSession) -> str:
+    return f"{shape.shared_folder(spark)}/written-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, round(o_totalprice, 2) AS price FROM orders")
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path, names = _fresh(spark), ("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    sinks.write_csv(_read(spark, sf, "orders", *names), path, delimiter="|")
+    back = readers.csv(spark, path, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double", delimiter="|")
+    return back.select(*names[:3], F.round("o_totalprice", 2).alias("price"))
+
+
+@query(f"WITH {B_SQL} SELECT j, k, v AS total FROM b")
+def sorted_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = _fresh(spark)
+    sinks.write_sorted(matrix_b(spark, sf), path)
+    return readers.parquet(spark, path).select("j", "k", F.col(VALUE).alias("total"))
+
+
+@query("SELECT l_suppkey, l_linenumber, CAST(sum(l_quantity) AS DOUBLE) AS total FROM lineitem GROUP BY 1, 2")
+def text_coordinates(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("l_suppkey", "l_linenumber", "l_quantity")
+    text = _lineitem(spark, sf, *names).select(*(F.concat(F.lit(" "), F.col(x).cast("string")).alias(x) for x in names))
+    return _out(readers.text_coo(text, names[:2], names[2]))
+
+
+@query(f"WITH {B_SQL} SELECT j, k, CAST(v AS DOUBLE) AS total FROM b")
+def matrix_market_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix as MatrixMarket lines of one-based places; a file of its own holds the head and is read first."""
+    path, rows = _fresh(spark), matrix_b(spark, sf).df
+    n = rows.agg(F.max("j").alias("j"), F.max("k").alias("k"), F.count("*").alias("n")).select(F.concat_ws(" ", F.col("j") + 1, F.col("k") + 1, "n").alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general")], "at int, value string").union(n.select(F.lit(1), "value"))
+    head.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{path}/0")
+    rows.select(F.concat_ws(" ", F.col("j") + 1, F.col("k") + 1, VALUE)).write.text(f"{path}/1")
+    lines = spark.read.text(f"{path}/0").union(spark.read.text(f"{path}/1"))
+    return _out(readers.matrix_market_lines(lines, "j", "k"))
+
+
+@query(f"WITH {B_SQL} SELECT j, count(*) AS entries, CAST(max(v) FILTER (k = 1) AS BIGINT) AS first FROM b GROUP BY j")
+def map_sink(spark: SparkSession, sf: str) -> DataFrame:
+    maps = sinks.as_map(matrix_b(spark, sf), "j")
+    return maps.select("j", F.size("entries").cast("long").alias("entries"), F.try_element_at("entries", F.lit(1)).alias("first"))

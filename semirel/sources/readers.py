@@ -77,7 +77,12 @@ def matrix_market(spark: SparkSession, path: str, row: str = "i", column: str =
     The line of sizes is told by its place, the first line that is no comment; an entry that reads like it is an entry.
     Other kinds (``array``, ``complex``, ``hermitian``) raise an error. The file may be large, as only its first lines pass the driver.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_line"))
+    return matrix_market_lines(spark.read.text(path), row, column, semiring)
+
+
+def matrix_market_lines(text: DataFrame, row: str = "i", column: str = "j", semiring: Semiring = REAL) -> KRel:
+    """As ``matrix_market``, for lines (``value``) whose partitions are in the file's order."""
+    lines = text.select("value", F.monotonically_increasing_id().alias("_line"))
     head = lines.where(F.col("value").startswith("%%MatrixMarket")).select("value").first()
     kind = (head[0] if head else "%%MatrixMarket matrix coordinate real general").lower().split()[1:]
     if len(kind) != 4 or kind[:2] != ["matrix", "coordinate"] or kind[2] not in ("real", "integer", "double", "pattern") or kind[3] not in ("general", "symmetric", "skew-symmetric"):
