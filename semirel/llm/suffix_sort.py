@@ -1,9 +1,9 @@
 """Deep-shallow sorting of suffixes that need ordering to a bounded depth.
 
-Shallow: a multikey quicksort whose characters are machine words of eight bytes,
-over all suffixes at once, down to ``SHALLOW`` bytes. Deep: what still shares so
-long a prefix goes into a blind trie, which branches on single bytes only and meets
-the text once for each suffix.
+Shallow: a multikey quicksort with three-way partitions, whose characters are machine
+words of eight bytes, down to ``SHALLOW`` bytes. Deep: what still shares so long a
+prefix goes into a blind trie, which branches on single bytes only and meets the text
+once for each suffix.
 """
 
 from __future__ import annotations
@@ -19,27 +19,46 @@ def _words(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
 
 
 def shallow(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the suffixes by their first ``depth`` bytes (a multiple of eight), and where each run of equals begins."""
-    order = np.arange(len(starts))
-    group = np.zeros(len(starts), np.int64)
-    for d in range(0, depth, 8):
-        # only what is still tied is sorted on
-        counts = np.bincount(group, minlength=len(starts))
-        tied = np.flatnonzero(counts[group] > 1)
-        if not len(tied):
-            break
-        words = _words(text, starts[order[tied]], d)
-        by = np.lexsort((words, group[tied]))
-        order[tied] = order[tied[by]]
-        words, g = words[by], group[tied]
-        new = np.zeros(len(starts), bool)
-        new[tied[1:]] = (np.diff(g) == 0) & (words[1:] != words[:-1])
-        first = np.ones(len(starts), bool)
-        first[1:] = np.diff(group) != 0
-        group = np.cumsum(first | new) - 1
-    begins = np.ones(len(starts), bool)
-    begins[1:] = np.diff(group) != 0
-    return order, np.flatnonzero(begins)
+    """An order of the suffixes by their first ``depth`` bytes (a multiple of eight), and where each run of equals begins.
+
+    All segments that are still open are split at once, each at its own pivot, into what is smaller,
+    equal and larger; equals go on with their next word. The pivot is the median of three places that
+    change from round to round, so that no given order of the input is a bad one.
+    """
+    n = len(starts)
+    order, begins = np.arange(n), np.zeros(n, bool)
+    begins[:1] = True
+    word = _words(text, starts, 0) if depth and n else np.zeros(n, np.uint64)
+    low, high, at_word = np.array([0]), np.array([n]), np.array([0])
+    turn = 0
+    while True:
+        still = (high - low > 1) & (8 * at_word < depth)
+        low, high, at_word = low[still], high[still], at_word[still]
+        if not len(low):
+            return order, np.flatnonzero(begins)
+        size = high - low
+        first = np.cumsum(size) - size
+        place = np.repeat(low - first, size) + np.arange(size.sum())
+        x, y, z = (word[low + (turn * 7919 + i * size // 3) % size] for i in range(3))
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        own, before = word[place], order[place]
+        less, more = own < pivot, own > pivot
+        n_less, n_more = (np.add.reduceat(c, first, dtype=np.int64) for c in (less, more))
+        n_equal = size - n_less - n_more
+        for kind, count, begin in ((less, n_less, low), (~(less | more), n_equal, low + n_less), (more, n_more, high - n_more)):
+            which = np.flatnonzero(kind)
+            to = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(which))
+            order[to], word[to] = before[which], own[which]
+        equal, larger = low + n_less, high - n_more
+        begins[equal] = True
+        begins[larger[n_more > 0]] = True
+        # the equals' next words
+        deeper = (larger - equal > 1) & (8 * (at_word + 1) < depth)
+        count = (larger - equal)[deeper]
+        here = np.repeat(equal[deeper] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        word[here] = _words(text, starts[order[here]] + 8 * np.repeat(at_word[deeper] + 1, count), 0)
+        low, high, at_word = np.concatenate([low, equal, larger]), np.concatenate([equal, larger, high]), np.concatenate([at_word, at_word + 1, at_word])
+        turn += 1
 
 
 class BlindTrie:

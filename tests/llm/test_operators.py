@@ -72,6 +72,18 @@ def test_suffix_sort():
         assert all((a == b) == (g == h) for a, b, g, h in zip(parts, parts[1:], group, group[1:], strict=False))
 
 
+@pytest.mark.parametrize("how", ["sorted", "reversed", "equal", "mixed"])
+def test_shallow_partitions(how):
+    """Any given order of the input, and many equal words, take few rounds and give the order of the bytes."""
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abc") for _ in range(24)) for _ in range(3000)]
+    words = {"sorted": sorted(words), "reversed": sorted(words, reverse=True), "equal": [words[0]] * 3000, "mixed": words[:50] * 60}[how]
+    text = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+    got, begins = suffix_sort.shallow(text, np.arange(3000) * 24, 24)
+    assert [words[i] for i in got] == sorted(words) and len(begins) == len(set(words)) and sorted(got.tolist()) == list(range(3000))
+    assert all(words[got[b]] != words[got[b - 1]] for b in begins[1:])
+
+
 @pytest.mark.parametrize("hot", [1, 512])
 def test_substring_dedup(docs, none, hot):
     seen, want = [], Counter()
