@@ -117,3 +117,22 @@ def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path / "docs_only", [(1, "one clean text of several words"), (2, None)], [], [])
     got = pipeline.run(spark, f"{tmp_path}/docs_only")
     assert {r["doc_id"] for r in got.select(F.col("doc_id")).collect()} == {1, 2}
+
+
+def test_training_sequences(spark, tmp_path):
+    """The ids themselves, in the order of the pieces, and no folders of stages that nothing reads any more."""
+    from semirel.llm import blocks
+
+    blocks.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    listed = lambda path: [str(x.getPath()) for x in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    before, say = set(listed(folder)), written_words()
+    texts = {d: say(30 + d) for d in range(6)}
+    write(spark, tmp_path, list(texts.items()), [(1, ITEM)], [])
+    (row,) = pipeline.training_sequences(spark, str(tmp_path)).collect()
+    slow = packing.Tokenizer(*packing.default_paths()).slow
+    ends = np.frombuffer(bytes(row["ids"]), "<u4")
+    pieces = Counter(tuple(x.tolist()) for x in np.split(ends, np.flatnonzero(ends == 0) + 1)[:-1])
+    assert row["length"] == len(ends) and pieces == Counter((*slow.encode(t, add_special_tokens=False).ids, 0) for t in texts.values())
+    left = [x for x in set(listed(folder)) - before if "/pipeline-" in x]
+    assert len(left) == 1 and [x.rsplit("/", 1)[1] for x in listed(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(left[0]))] == ["benchmark_decontamination"]
