@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semirel.llm import blocks as B
@@ -20,6 +20,8 @@ from semirel.llm.decontamination import bounded
 
 #: Documents (of different texts) that must hold term and entity together; the least share of the term's documents; the least information in bits.
 MIN_TEXTS, MIN_SHARE, MIN_BITS, NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 4, 0.5, 5.0, 120, 4, 3
+#: An entity in many documents gives few bits at most: a term that hardly stands without it discloses it from so many bits on.
+CERTAIN_SHARE, CERTAIN_BITS = 0.95, 1.0
 GROUP, CUT = 256, 128
 _MARK, _INSTEAD = "\uE003", "\u0002"
 #: The patterns by kind, in the order of the spans. A match begins where the last one ended or where
@@ -127,7 +129,7 @@ def disclosing_terms(texts: DataFrame, near: DataFrame, *, min_texts: int = MIN_
     """``term, bits`` of the terms over the thresholds. ``near`` holds ``doc_id, text_hash, entity, near`` of all entities.
 
     With n documents in all: a term's share is P(entity near | term), its information
-    log2(P(entity near | term) / P(entity)), over all documents of the corpus.
+    log2(P(entity near | term) / P(entity)), over all documents of the corpus. A share of ``CERTAIN_SHARE`` needs ``CERTAIN_BITS`` only.
     """
     holds = near.groupBy("entity").agg(F.countDistinct("doc_id", "text_hash").alias("n_entity"))
     each = near.select("doc_id", "text_hash", "entity", F.explode("near").alias("term"))
@@ -143,7 +145,8 @@ def disclosing_terms(texts: DataFrame, near: DataFrame, *, min_texts: int = MIN_
     n = texts.count()
     share = F.col("n_both") / F.col("n_term")
     weighed = pairs.join(n_term, "term").withColumn("share", share).withColumn("bits", F.log2(share * n / F.col("n_entity")))
-    return weighed.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("bits").alias("bits"))
+    certain = (F.col("share") >= CERTAIN_SHARE) & (F.col("bits") >= CERTAIN_BITS)
+    return weighed.where((F.col("share") >= min_share) & ((F.col("bits") >= min_bits) | certain)).groupBy("term").agg(F.max("bits").alias("bits"))
 
 
 def find_personal_data(docs: DataFrame, **thresholds: float) -> DataFrame:
@@ -178,13 +181,31 @@ def as_text(spans: Column) -> Column:
 
 
 def sanitise(found: DataFrame, *, remove: bool = False) -> DataFrame:
-    """``doc_id, text`` with every span generalised to ``<kind>`` or removed; where spans overlap, the first one counts."""
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """``doc_id, text`` with every span generalised to ``<kind>`` or removed; where spans overlap, the first one counts
+    and what others reach beyond it is removed.
+
+    What stays is taken from the text's cuts, so that time stays in proportion to text and spans. Rows without spans and
+    null ids stay as they are, repeated rows are repeated. Null text: null. Empty table: no rows.
+    """
+    rows = B.saved(found.select("doc_id", "text", "spans").withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.inline("spans")).select("row", "start", "end", "kind")
+    order = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
+    placed = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "done"))).alias("placed"), F.max("end").alias("last"))
     kinds = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    put = (lambda s: F.lit("")) if remove else (lambda s: F.concat(F.lit("<"), F.get(kinds, s["kind"]), F.lit(">")))
-    add = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), put(s)).alias("out"))).otherwise(
-        F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-    )
-    clean = F.aggregate(ordered, start, add, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.select("doc_id", clean.alias("text"))
+
+    def between(cuts: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / CUT).cast("int")
+        held = F.slice(cuts, first + 1, F.floor(F.greatest(start, end) / CUT).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), start - first * CUT + 1, F.greatest(end - start, F.lit(0)))
+
+    def instead(s: Column) -> Column:
+        return F.lit("") if remove else F.concat(F.lit("<"), F.get(kinds, s["kind"]), F.lit(">"))
+
+    def clean(cuts: Column) -> Column:
+        put = lambda s: F.when(s["start"] >= s["done"], F.concat(between(cuts, s["done"], s["start"]), instead(s))).otherwise("")
+        return F.array(F.concat(F.array_join(F.transform("placed", put), ""), between(cuts, F.col("last"), F.length("text"))))
+
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    new = F.when(F.col("placed").isNull(), F.col("text")).otherwise(F.get(_with(cuts, clean), 0))
+    return rows.join(placed, "row", "left").select("doc_id", new.alias("text"))

@@ -165,7 +165,7 @@ pairs AS (SELECT entity, term, count(DISTINCT (doc_id, text)) FILTER (doc_id IS
 n_term AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct({terms("text")})) AS term FROM docs) GROUP BY 1),
 terms AS (
   SELECT DISTINCT term FROM pairs JOIN holds USING (entity) JOIN n_term USING (term)
-  WHERE n_texts >= {P.MIN_TEXTS} AND n_both / n_term >= {P.MIN_SHARE} AND log2(n_both / n_term * (SELECT count(*) FROM docs) / n_entity) >= {P.MIN_BITS}
+  WHERE n_texts >= {P.MIN_TEXTS} AND n_both / n_term >= {P.MIN_SHARE} AND log2(n_both / n_term * (SELECT count(*) FROM docs) / n_entity) >= CASE WHEN n_both / n_term >= {P.CERTAIN_SHARE} THEN {min(P.CERTAIN_BITS, P.MIN_BITS)} ELSE {P.MIN_BITS} END
 ), kept AS (SELECT row, kind, start, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop AS said FROM spans WHERE kind < 4 OR doc_id IS NOT NULL AND lower(value) IN (FROM terms))
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
   sha256(coalesce(string_agg(said, ',' ORDER BY kind, start) FILTER (kind < 4), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY kind, start), '') AS spans
