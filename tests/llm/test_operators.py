@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semirel.llm import decontamination, line_dedup, near_copies, packing, pii, sentence_spans, simhash, substring_dedup, suffix_sort, topk_search, toxicity, unigram_lm
+from semirel.llm import blocks, decontamination, line_dedup, near_copies, packing, pii, sentence_spans, simhash, substring_dedup, suffix_sort, topk_search, toxicity, unigram_lm
 
 LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 SPACE = " \t\n\v\f\r"
@@ -266,6 +266,59 @@ def test_near_copies_beyond_reach(spark):
     assert {tuple(sorted(g)) for g in groups.values()} == want
 
 
+def _moved(spark):
+    """Bytes that all shuffles so far have written."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_near_copies_move_little(spark, monkeypatch):
+    """What a stage moves stays below the text, also where tables are too large to be broadcast and unlike long texts share passages."""
+    rng = random.Random(8)
+    word = lambda: f"{rng.randrange(10**7):x}"
+    passages = [" ".join(word() for _ in range(400)) for _ in range(20)]
+    rows = [(i, " ".join([*(word() for _ in range(2200)), passages[i % 20], *(word() for _ in range(2200))])) for i in range(240)]
+    rows += [(1000 + i, f"{rows[i][1]} and a few more words") for i in range(0, 240, 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 4, raising=False)
+    monkeypatch.setattr(near_copies, "ORDER_TEXTS", 30)  # a small part, as of a large table
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = _moved(spark)
+    assert {r[0] for r in near_copies.drop_near_copies(docs).select("doc_id").collect()} == set(range(240))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert _moved(spark) - before < sum(len(t) for _, t in rows)
+
+
+def test_fine_signatures_are_exact():
+    """Two fine signatures differ by no more than their sets, whatever their sizes, also where a place holds more than it can count."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 100, 511, 512, 3000, 40_000):
+        for m in (0, n // 2, n, 3 * n):
+            x, y = (np.unique(rng.integers(0, 1 << 62, k, dtype=np.uint64)) for k in (n, m))
+            for low in (0, 12):  # all shingles in few places
+                a, b = np.unique(np.concatenate([x, y[: m // 2]]) >> np.uint64(low)), np.unique(y >> np.uint64(low))
+                far = near_copies.apart(*(np.frombuffer(near_copies.fine_signature(z), np.uint8) for z in (a, b)))
+                assert far <= len(np.setxor1d(a, b))
+    x, y = (np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+    assert near_copies.apart(*(np.frombuffer(near_copies.fine_signature(z), np.uint8) for z in (x, y))) > 2 * 12_000 / 9
+    assert np.array_equal(near_copies._keys(near_copies._short(x)), x >> np.uint64(24) << np.uint64(24))
+
+
+@pytest.mark.parametrize("most,bits", [(10**6, 1 << 27), (0, 1 << 27), (0, 64)])
+def test_few_rows_meet(spark, monkeypatch, most, bits):
+    """Each row with a partner is among those that are to meet it, however small the filter; the rest is whole."""
+    monkeypatch.setattr(blocks, "FILTER_BITS", bits)
+    rows = spark.createDataFrame([(i if i % 9 else None, i % 4, f"text {i}") for i in range(2000)], "x long, y long, text string")
+    known = spark.createDataFrame([(i if i % 9 else None, i % 4) for i in range(0, 2000, 50)] + [(-5, 1)], "d long, t long").distinct()
+    some, kept, others = blocks.few(rows, known, {"x": "d", "y": "t"}, most)
+    on = lambda r: r["x"].eqNullSafe(kept["d"]) & (r["y"] == kept["t"])
+    want = rows.join(known, rows["x"].eqNullSafe(known["d"]) & (rows["y"] == known["t"]), "left_semi").count()
+    assert some.join(kept, on(some), "left_semi").count() == want
+    rest = [] if others is None else others.collect()
+    assert some.count() + len(rest) == 2000 and (others is None) == (most > 0) and (most > 0 or bits < 100 or len(rest) > 1600)
+    assert not rest or others.join(kept, on(others), "left_semi").isEmpty()
+
+
 @pytest.mark.parametrize("kind", ["even", "clustered"])
 def test_no_task_takes_most_fingerprints(kind):
     """With 64 leaves and more, no task holds over three times the mean of those at work, and none grows with the leaves; every close pair meets."""
