@@ -230,7 +230,7 @@ def held_by_several(classes: DataFrame) -> DataFrame:
         order = np.lexsort((at, of))
         key, of, at = key[order], of[order], at[order]
         some, begins = np.unique(of, return_index=True)
-        cuts = [slice(i, j) for i, j in zip(begins, [*begins[1:], len(of)], strict=True)]
+        cuts = [slice(i, j) for i, j in zip(begins, np.append(begins[1:], len(of))[: len(begins)], strict=True)]  # a block may hold none
         rows = table.take(pa.array(some, pa.int64()))
         return pa.table({"cls": rows.column("cls"), "size": rows.column("size"), "leading": pa.array([_short(key[c]) for c in cuts], pa.binary()), "places": pa.array([at[c].tobytes() for c in cuts], pa.binary()), "signature": rows.column("signature")})
 
